@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quarrycast.llm import encoding, leaks
+from pyspark.sql import functions as F
+
+from quarrycast.llm import encoding, leaks, neardup
 from quarrycast.runtime import spread, table
 
 
@@ -15,9 +17,20 @@ def p8_found(spark, sf_dir):
     return leaks.find(documents, table(spark, sf_dir, "eval_items", "item_id", "text")).distinct()
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found}
+def p6_found(spark, sf_dir):
+    jobs = table(spark, sf_dir, "jobs", "id", "title", "jd_text").where(F.col("jd_text").rlike(r"(?U)\S"))
+    return neardup.all_pairs(spread(jobs), "id", ["title", "jd_text"], threshold=0.7, n=3).distinct()
+
+
+QUERIES = {"p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 
 SQL = {
+    "p6_found": r"""
+WITH j AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || jd_text), '[\p{L}\p{N}]+') AS w FROM jobs WHERE regexp_matches(jd_text, '[^\s\pZ]')),
+     s AS (SELECT DISTINCT id, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS p FROM j)),
+     n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+     c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM c JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE c.c >= 0.7 * (a.n + b.n - c.c) - 1e-9""",
     "p8_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
      i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
