@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quarrycast.plans import problems
+
 FLAGSHIP = "RM2_pipeline"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict = {**problems.QUERIES}
+SQL: dict = {**problems.SQL}
