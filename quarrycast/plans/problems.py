@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quarrycast.operators import snapshots
+from pyspark.sql import functions as F
+
+from quarrycast.operators import instants, snapshots
 from quarrycast.runtime import spread, table
 
 
@@ -13,7 +15,16 @@ def p2_found(spark, sf_dir):
     return found.select("source", "external_id", "snapshot_no", "change_kind").distinct()
 
 
-QUERIES = {"p2_found": p2_found}
+def p4_found(spark, sf_dir):
+    one = lambda tab, key, value, source: table(spark, sf_dir, tab, key, value, *([source] if tab in ("jobs", "feed_items") else [])).select(F.lit(tab).alias("tab"), F.col(key).cast("string").alias("row_key"), F.col(value).alias("value"), (F.col(source) if tab in ("jobs", "feed_items") else F.lit(source)).alias("source"))
+    values = one("jobs", "id", "posted_at", "source")
+    for tab, key, value, source in (("lever_postings", "id", "created_at", "lever"), ("ashby_postings", "id", "published_at", "ashby"), ("feed_items", "item_id", "published_at", "source")):
+        values = values.unionByName(one(tab, key, value, source))
+    found = instants.utc_seconds(values, "value", "source", table(spark, sf_dir, "zone_hints", "source", "tz_name", "day_order"), table(spark, sf_dir, "zone_names", "abbr", "offset_minutes"))
+    return found.where("utc_second is not null and row_key is not null").select("tab", "row_key", "utc_second").distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p2_found": p2_found}
 
 SQL = {
     "p2_found": r"""
