@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrycast.operators import instants, snapshots
+from quarrycast.operators import instants, snapshots, units
 from quarrycast.runtime import spread, table
 
 
+def p1_found(spark, sf_dir):
+    pays = units.read_pays(spread(table(spark, sf_dir, "jobs", "id", "pay_min", "pay_max", "pay_currency", "jd_text")), "id", ["pay_min", "pay_max"], "pay_currency", "jd_text")
+    sums = units.read_amounts(spread(table(spark, sf_dir, "funding_items", "id", "amount_raw", "currency", "raw_text")), "id", "amount_raw", "currency", "raw_text")
+    both = pays.withColumn("tab", F.lit("jobs")).unionByName(sums.withColumn("tab", F.lit("funding_items")))
+    found = units.canonical(both, table(spark, sf_dir, "unit_factors", "kind", "unit_code", "factor"))
+    return found.withColumn("usd", F.round("canonical").cast("bigint")).where("usd is not null and row_id is not null").select("tab", "row_id", "field_name", "usd").distinct()
+
+
 def p2_found(spark, sf_dir):
     rows = table(spark, sf_dir, "job_snapshots", "snapshot_no", "source", "board", "poll_ok", "external_id", "title", "jd_text")
     numbers = snapshots.numbers_of(rows, "snapshot_no")
@@ -24,7 +32,7 @@ def p4_found(spark, sf_dir):
     return found.where("utc_second is not null and row_key is not null").select("tab", "row_key", "utc_second").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p2_found": p2_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p2_found": p2_found}
 
 SQL = {
     "p2_found": r"""
