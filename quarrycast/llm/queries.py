@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrycast.llm import encoding, leaks, neardup
+from quarrycast.llm import encoding, leaks, mail_text, neardup
 from quarrycast.runtime import spread, table
 
 
@@ -17,12 +17,16 @@ def p8_found(spark, sf_dir):
     return leaks.find(documents, table(spark, sf_dir, "eval_items", "item_id", "text")).distinct()
 
 
+def p5_found(spark, sf_dir):
+    return mail_text.written_lines(table(spark, sf_dir, "mail_messages", "gmail_id", "thread_id", "from_addr", "body", "received_at", "seen_at"))
+
+
 def p6_found(spark, sf_dir):
     jobs = table(spark, sf_dir, "jobs", "id", "title", "jd_text").where(F.col("jd_text").rlike(r"(?U)\S"))
     return neardup.all_pairs(spread(jobs), "id", ["title", "jd_text"], threshold=0.7, n=3).distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 
 SQL = {
     "p6_found": r"""
