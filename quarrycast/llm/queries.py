@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrycast.llm import encoding, leaks, mail_text, neardup
+from quarrycast.llm import encoding, leaks, mail_text, matching, neardup
 from quarrycast.runtime import spread, table
 
 
@@ -17,6 +17,12 @@ def p8_found(spark, sf_dir):
     return leaks.find(documents, table(spark, sf_dir, "eval_items", "item_id", "text")).distinct()
 
 
+def p3_found(spark, sf_dir):
+    items = table(spark, sf_dir, "funding_items", "id", "company_name", "headline", "resolved_domain")
+    found = matching.match(items, table(spark, sf_dir, "companies", "id", "name", "domain", "notes"))
+    return found.where(F.col("confidence") >= matching.LEAST_CONFIDENCE).select(F.col("id").alias("funding_id"), "company_id")
+
+
 def p5_found(spark, sf_dir):
     return mail_text.written_lines(table(spark, sf_dir, "mail_messages", "gmail_id", "thread_id", "from_addr", "body", "received_at", "seen_at"))
 
@@ -26,7 +32,7 @@ def p6_found(spark, sf_dir):
     return neardup.all_pairs(spread(jobs), "id", ["title", "jd_text"], threshold=0.7, n=3).distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 
 SQL = {
     "p6_found": r"""
