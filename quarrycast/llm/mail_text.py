@@ -277,7 +277,8 @@ def _scan_group(rows: pd.DataFrame) -> Iterator[tuple[int, list[int], list[int]]
     Sentences are added to the automaton in the order of time; it is built anew only for targets that have
     a source between them, and only from sentences that some target has, which bounds its size.
     """
-    rows = rows.sort_values(["at", "gmail_id"], kind="stable", na_position="last")
+    if len(rows) > 1:
+        rows = rows.sort_values(["at", "gmail_id"], kind="stable", na_position="last")
     split = {i: lines_of(b) for i, b in zip(rows.index, rows["body"])}
     texts: set[str] = set()
     closes: dict[str, set[str]] = {}
@@ -302,6 +303,41 @@ def _scan_group(rows: pd.DataFrame) -> Iterator[tuple[int, list[int], list[int]]
                 signed.pop(sender, None)
 
 
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of batches, sorted by group, in frames that hold whole groups."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        same = (rows["thread"] == rows["thread"].iloc[-1]) & (rows["i"] == rows["i"].iloc[-1]) & (rows["j"] == rows["j"].iloc[-1])
+        held = rows[same]
+        if not same.all():
+            yield rows[~same]
+    if held is not None:
+        yield held
+
+
+def _scan_groups(rows: pd.DataFrame) -> pd.DataFrame:
+    """The results of _scan_group() for each group of rows."""
+    out = []
+    for _, index in rows.groupby(["thread", "i", "j"], sort=False).indices.items():
+        group = rows.iloc[index]
+        for k, c, s in _scan_group(group):
+            r = group.loc[k]
+            out.append((r["gmail_id"], r["from_addr"], r["body"], c, s))
+    return pd.DataFrame(out, columns=["gmail_id", "from_addr", "body", "covered", "signs"])
+
+
+def _decide(rows: pd.DataFrame) -> pd.DataFrame:
+    """The new lines of messages with their covered and signature lines."""
+    ids, nos = [], []
+    for r in rows.itertuples():
+        kinds = kinds_of(lines_of(r.body), r.from_addr, frozenset(map(int, r.covered)), frozenset(map(int, r.signs)))
+        new = [k + 1 for k, x in enumerate(kinds) if x == "new"]
+        ids += [r.gmail_id] * len(new)
+        nos += new
+    return pd.DataFrame({"gmail_id": pd.Series(ids, dtype="object"), "line_no": pd.Series(nos, dtype="int32")})
+
+
 def written_lines(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """(gmail_id, line_no) of each non-blank line that the sender of the message wrote anew.
 
@@ -321,23 +357,11 @@ def written_lines(df: DataFrame, block: int = BLOCK) -> DataFrame:
     both = F.array(F.struct(own.alias("i"), own.alias("j"), F.lit(True).alias("source"), F.lit(True).alias("target")))
     rows = rows.withColumn("x", F.explode(F.concat(as_source, as_target, both))).select("thread", "gmail_id", "from_addr", "body", "at", "parts", "x.*")
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        found = [(group.at[i, "gmail_id"], group.at[i, "from_addr"], group.at[i, "body"], int(group.at[i, "parts"]), c, s) for i, c, s in _scan_group(group)]
-        return pd.DataFrame(found, columns=["gmail_id", "from_addr", "body", "parts", "covered", "signs"])
-
-    scanned = rows.groupBy("thread", "i", "j").applyInPandas(scan, "gmail_id string, from_addr string, body string, parts int, covered array<int>, signs array<int>")
-    # messages of split threads have a row for each block: unite what the blocks found
-    merged = scanned.where("parts > 1").groupBy("gmail_id", "from_addr", "body").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.array_distinct(F.flatten(F.collect_list("signs"))).alias("signs"))
-    ready = scanned.where("parts = 1").drop("parts").unionByName(merged)
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids, nos = [], []
-            for r in b.itertuples():
-                kinds = kinds_of(lines_of(r.body), r.from_addr, frozenset(map(int, r.covered)), frozenset(map(int, r.signs)))
-                new = [k + 1 for k, x in enumerate(kinds) if x == "new"]
-                ids += [r.gmail_id] * len(new)
-                nos += new
-            yield pd.DataFrame({"gmail_id": ids, "line_no": pd.Series(nos, dtype="int32")})
-
-    return ready.mapInPandas(decide, "gmail_id string, line_no int").distinct()
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
+    placed = lambda x: x.repartition(n, "thread", "i", "j").sortWithinPartitions("thread", "i", "j")
+    result = "gmail_id string, line_no int"
+    whole = placed(rows.where("parts = 1")).mapInPandas(lambda batches: map(_decide, map(_scan_groups, _whole_groups(batches))), result)
+    # messages of split threads have a row for each block: what the blocks found is united before the decision
+    split = placed(rows.where("parts > 1")).mapInPandas(lambda batches: map(_scan_groups, _whole_groups(batches)), "gmail_id string, from_addr string, body string, covered array<int>, signs array<int>")
+    split = split.groupBy("gmail_id", "from_addr", "body").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.array_distinct(F.flatten(F.collect_list("signs"))).alias("signs"))
+    return whole.unionByName(split.mapInPandas(lambda batches: map(_decide, batches), result)).distinct()
