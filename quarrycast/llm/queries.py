@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrycast.llm import encoding, leaks, mail_text, matching, neardup
+from quarrycast.llm import encoding, garbled, leaks, mail_text, matching, neardup
 from quarrycast.runtime import spread, table
 
 
@@ -32,7 +32,12 @@ def p6_found(spark, sf_dir):
     return neardup.all_pairs(spread(jobs), "id", ["title", "jd_text"], threshold=0.7, n=3).distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark, sf_dir):
+    found = garbled.restore(spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang")))
+    return found.select("doc_id", F.when(F.col("lost"), F.lit("")).otherwise(F.md5(F.encode("restored", "UTF-8"))).alias("restored_md5")).distinct()
+
+
+QUERIES = {"p9_found": p9_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 
 SQL = {
     "p6_found": r"""
