@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarrycast.plans import problems
+from quarrycast.plans import problems, readmodels
 
 FLAGSHIP = "RM2_pipeline"
-QUERIES: dict = {**problems.QUERIES}
-SQL: dict = {**problems.SQL}
+QUERIES: dict = {**problems.QUERIES, **readmodels.q.queries}
+SQL: dict = {**problems.SQL, **readmodels.q.sql}
