@@ -46,7 +46,7 @@ def day_part(text: Column) -> Column:
 
 def epoch_ms_iso(ms: Column) -> Column:
     """ISO text of milliseconds since 1970, in UTC."""
-    return F.date_format(F.timestamp_millis(ms.try_cast("bigint")), "yyyy-MM-dd'T'HH:mm:ssxxx")
+    return F.regexp_replace(F.date_format(F.timestamp_millis(ms.try_cast("bigint")), "yyyy-MM-dd'T'HH:mm:ssxxx"), r"^\+", "")
 
 
 def add_business_days(day: Column, n: int) -> Column:

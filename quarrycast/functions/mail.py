@@ -79,7 +79,7 @@ def strip_subdomain(domain: Column) -> Column:
 def _clean(name: Column) -> Column:
     n = F.trim(F.trim(name), F.lit("-–—|,:;.!\"' "))
     for t in COMPANY_TAILS:
-        n = F.when(F.lower(n).endswith(t), F.trim(F.left(n, F.char_length(n) - len(t)))).otherwise(n)
+        n = F.regexp_replace(n, java(t.replace(".", r"\.") + r"$"), "")
     return F.when((F.length(n) >= 2) & ~F.substring_index(F.lower(n), " ", 1).isin(STOP_FIRST), n)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from quarrycast.plans import problems, readmodels
+from quarrycast.plans import extraction, problems, readmodels
 
 FLAGSHIP = "RM2_pipeline"
-QUERIES: dict = {**problems.QUERIES, **readmodels.q.queries}
-SQL: dict = {**problems.SQL, **readmodels.q.sql}
+PARTS = (readmodels.q, extraction.q)
+QUERIES: dict = {**problems.QUERIES, **{k: f for p in PARTS for k, f in p.queries.items()}}
+SQL: dict = {**problems.SQL, **{k: f for p in PARTS for k, f in p.sql.items()}}
