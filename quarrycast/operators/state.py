@@ -169,7 +169,7 @@ def _fs(spark: SparkSession, path: str):
 
 def current_version(spark: SparkSession, table: str) -> int:
     """The version that the pointer names; 0 if nothing was published."""
-    p, fs = _fs(spark, f"{table}/_CURRENT")
+    p, fs = _fs(spark, f"{table}/CURRENT")
     if not fs.exists(p):
         return 0
     return int(spark.read.text(str(p.toString())).first()[0])
@@ -185,8 +185,8 @@ def publish(df: DataFrame, table: str) -> int:
     spark = df.sparkSession
     v = current_version(spark, table) + 1
     df.write.mode("overwrite").parquet(f"{table}/v={v}")
-    p, fs = _fs(spark, f"{table}/_CURRENT")
-    temp, _ = _fs(spark, f"{table}/_CURRENT.{v}")
+    p, fs = _fs(spark, f"{table}/CURRENT")
+    temp, _ = _fs(spark, f"{table}/CURRENT.{v}")
     stream = fs.create(temp, True)
     stream.write(bytearray(str(v).encode()))
     stream.close()

@@ -31,16 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns) if columns else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the one of spark.checkpoint.dir, or where that is unset (tests on one
+    machine) a local one, which is then set."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/quarrycast-{uuid.uuid4().hex}")
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get()
 
-    The folder comes from spark.checkpoint.dir, which all executors share; only where that is
-    unset (tests on one machine) a local one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or f"{tempfile.gettempdir()}/quarrycast-{uuid.uuid4().hex}")
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
