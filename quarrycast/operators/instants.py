@@ -81,7 +81,7 @@ def _number(value: Column) -> Column:
     """UTC seconds of a plain number, null unless one of its units falls into NUMBER_YEARS."""
     v = F.when(value.rlike(NUMBER), F.trim(value)).try_cast("decimal(38,9)")
     first, last = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (NUMBER_YEARS[0], NUMBER_YEARS[1] + 1))
-    units = [F.floor(v / F.lit(k).cast("decimal(8,0)")).cast("bigint") for k in (1, 1_000, 1_000_000)]
+    units = [F.floor(v / F.lit(k).cast("decimal(8,0)")).try_cast("bigint") for k in (1, 1_000, 1_000_000)]
     return F.coalesce(*[F.when((u >= first) & (u < last), u) for u in units])
 
 

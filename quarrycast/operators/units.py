@@ -254,8 +254,8 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_pays(df: DataFrame, key: str, fields: list[str], unit: str, text: str) -> DataFrame:
     """(row_id, field_name, value, currency, scale, period) of each non-null value of the pay fields of df."""
-    some = F.coalesce(*[F.col(f).cast("double") for f in fields]).isNotNull()
-    rows = df.where(some).select(F.col(key).cast("long").alias("k"), *[F.col(f).cast("double").alias(f"v{i}") for i, f in enumerate(fields)], F.col(unit).cast("string").alias("u"), F.col(text).cast("string").alias("t"))
+    some = F.coalesce(*[F.col(f).try_cast("double") for f in fields]).isNotNull()
+    rows = df.where(some).select(F.col(key).cast("long").alias("k"), *[F.col(f).try_cast("double").alias(f"v{i}") for i, f in enumerate(fields)], F.col(unit).cast("string").alias("u"), F.col(text).cast("string").alias("t"))
 
     def run(batches):
         for b in batches:

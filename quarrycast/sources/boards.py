@@ -41,7 +41,7 @@ def greenhouse(payloads: DataFrame, body: str = "body") -> DataFrame:
 def lever(payloads: DataFrame, body: str = "body") -> DataFrame:
     """Bare array; epoch milliseconds; plain text before markup."""
     df = payloads.select(F.explode(F.from_json(body, B)).alias("p"))
-    ms = F.floor(F.trim("p.createdAt").try_cast("double")).cast("bigint")
+    ms = F.floor(F.trim("p.createdAt").try_cast("double")).try_cast("bigint")
     jd = F.coalesce(clean(_text("p.descriptionPlain")), strip_html(F.coalesce(F.trim("p.description"), F.lit(""))))
     return _shape(df, "lever", p_title=F.col("p.text"), title=_text("p.text"), url=F.coalesce(F.trim("p.hostedUrl"), F.lit("")), posted_at=epoch_ms_iso(ms), location=_text("p.categories.location"), employment_type=_text("p.categories.commitment"), jd_text=jd)
 
