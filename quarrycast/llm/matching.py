@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quarrycast.runtime import cut
 
 GENERIC_SHARE, GENERIC_LEAST = 0.005, 5  #: a word is generic if at least this share and number of names has it
-LEAST_TYPO = 6  #: letters of the shortest name that is compared with one edit
+LEAST_TYPO, LONGEST_TYPO = 6, 80  #: letters of the shortest and longest name that is compared with one edit
 LEAST_CONFIDENCE = 0.5
 
 # --- fixed values: legal forms, and what news puts around a name ---------------------------------------------
@@ -115,7 +115,7 @@ def _variants(full: Column) -> Column:
     """full and what is left of it without any one of its letters: names one edit apart share one of these."""
     n = F.length(full)
     cuts = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(full, F.lit(1), i - 1), F.substring(full, i + 1, n)))
-    return F.when(n >= LEAST_TYPO, F.array_distinct(F.concat(F.array(full), cuts)))
+    return F.when(n.between(LEAST_TYPO, LONGEST_TYPO), F.array_distinct(F.concat(F.array(full), cuts)))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -126,20 +126,40 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b, 1) >= 0) | swapped
 
 
-def _rules() -> list[tuple[str, dict[str, str], str | None]]:
-    """(name, attribute of the record -> attribute of the company, condition) of each rule, strongest first."""
-    hints = [("sector_city", {"sector": "sector", "city": "city"}), ("sector", {"sector": "sector"}), ("city", {"city": "city"}), ("alone", {})]
-    out = [("domain", {"domain": "domain"}, None), ("site", {"site": "domain"}, None)]
-    for kind, keys, when in (
-        ("name", {"full": "full"}, None),
-        ("site_name", {"full": "turned"}, "site is not null"),
-        ("initial", {"stem": "stem", "initial": "initial"}, "full is null"),
-        ("base", {"base": "base"}, "rest = ''"),
-        ("typo", {"variant": "variant"}, None),
-        ("base_typo", {"variant": "base_variant"}, "rest = ''"),
-    ):
-        out += [(f"{kind}_{h}", keys | more, when) for h, more in hints]
-    return out
+#: Which of sector and city a rule asks for, strongest first.
+HINTS = [("sector_city", ["sector", "city"]), ("sector", ["sector"]), ("city", ["city"]), ("alone", [])]
+#: The cascade: kind, attribute of the record, attribute of the company, condition on the record, with hints or not.
+CASCADE = [
+    ("domain", ["domain"], ["domain"], None, False),
+    ("site", ["site"], ["domain"], None, False),
+    ("name", ["full"], ["full"], None, True),
+    ("site_name", ["full"], ["turned"], "site is not null", True),
+    ("initial", ["stem", "initial"], ["stem", "initial"], "full is null", True),
+    ("base", ["base"], ["base"], "rest = ''", True),
+    ("typo", ["variant"], ["variant"], None, True),
+    ("base_typo", ["variant"], ["base_variant"], "rest = ''", True),
+]
+EVIDENCE = ["domain", "sector", "city"]
+
+
+def _rule(own: DataFrame, side: DataFrame, mine: list[str], theirs: list[str], hints: list[str], typo: bool, by_domain: bool) -> DataFrame:
+    """(item, probe, label, company) of one rule: keys that name one company, no contradiction, one company per item."""
+    keys = [*theirs, *hints]
+    known = side
+    for t in keys:
+        known = known.where(F.col(t).isNotNull())
+    keyed = known.groupBy(*[F.col(t).alias(f"key_{t}") for t in keys]).agg(F.count_distinct("company").alias("k"), F.min("company").alias("company"), *[F.min(e).alias(f"their_{e}") for e in EVIDENCE], *([F.min("whole").alias("whole")] if typo else []))
+    on = F.lit(True)
+    for m, t in zip([*mine, *hints], keys):
+        on &= F.col(m) == F.col(f"key_{t}")
+    hits = own.join(keyed.where("k = 1").drop("k"), on)
+    for e in EVIDENCE:
+        if not (by_domain and e == "domain"):
+            hits = hits.where(F.col(e).isNull() | F.col(f"their_{e}").isNull() | (F.col(e) == F.col(f"their_{e}")))
+    if typo:
+        hits = hits.where(_one_edit(F.col("full"), F.col("whole")))
+    one = hits.groupBy("item", "probe", "label").agg(F.count_distinct("company").alias("k"), F.min("company").alias("company"))
+    return one.where("k = 1").drop("k")
 
 
 def match(items: DataFrame, companies: DataFrame, item_id: str = "id", name: str = "company_name", headline: str = "headline", site: str = "resolved_domain", company_id: str = "id", company_name: str = "name", company_domain: str = "domain", notes: str = "notes") -> DataFrame:
@@ -161,27 +181,20 @@ def match(items: DataFrame, companies: DataFrame, item_id: str = "id", name: str
     i = i.join(unique_domains, "domain", "left").withColumn("probe", F.lit(False))
     probes = i.where("label is not null").withColumn("probe", F.lit(True)).withColumn("domain", F.lit(None).cast("string"))
     rest = cut(i.unionByName(probes))
-    evidence = ["domain", "sector", "city"]
     found = None
-    for k, (rule, keys, when) in enumerate(_rules()):
-        side, own = c, rest.where(when) if when else rest
-        for mine, theirs in keys.items():
-            if theirs in ("variant", "base_variant"):
-                whole = "full" if theirs == "variant" else "base"
-                side = side.withColumn("whole", F.col(whole)).withColumn(theirs, F.explode(_variants(F.col(whole))))
-                own = own.withColumn(mine, F.explode(_variants(F.col("full"))))
-            side, own = side.where(F.col(theirs).isNotNull()), own.where(F.col(mine).isNotNull())
-        typo = "variant" in keys
-        keyed = side.groupBy(*[F.col(t).alias(f"key_{t}") for t in keys.values()]).agg(F.count_distinct("company").alias("k"), F.min("company").alias("company"), *[F.min(e).alias(f"their_{e}") for e in evidence], *([F.min("whole").alias("whole")] if typo else []))
-        on = F.lit(True)
-        for mine, theirs in keys.items():
-            on &= F.col(mine) == F.col(f"key_{theirs}")
-        hits = own.join(keyed.where("k = 1").drop("k"), on)
-        for e in evidence:
-            hits = hits.where(F.col(e).isNull() | F.col(f"their_{e}").isNull() | (F.col(e) == F.col(f"their_{e}")) if e != "domain" or rule != "domain" else F.lit(True))
+    for kind, mine, theirs, when, hinted in CASCADE:
+        side, own, typo = c, rest.where(when) if when else rest, kind.endswith("typo")
         if typo:
-            hits = hits.where(_one_edit(F.col("full"), F.col("whole")))
-        hits = hits.groupBy("item", "probe", "label").agg(F.count_distinct("company").alias("k"), F.min("company").alias("company")).where("k = 1").select("item", "probe", "label", "company", F.lit(k).alias("rule_no"), F.lit(rule).alias("rule"))
+            whole = "base" if kind == "base_typo" else "full"
+            side = side.withColumn("whole", F.col(whole)).withColumn(theirs[0], F.explode(_variants(F.col(whole))))
+            own = own.withColumn("variant", F.explode(_variants(F.col("full"))))
+        # the rules of a kind differ in their hints; of those that decide on an item the strongest holds
+        levels = HINTS if hinted else [("", [])]
+        hits = None
+        for n, (level, hints) in enumerate(levels):
+            one = _rule(own, side, mine, theirs, hints, typo, kind == "domain").withColumn("order", F.lit(n)).withColumn("rule", F.lit(f"{kind}_{level}".rstrip("_")))
+            hits = one if hits is None else hits.unionByName(one)
+        hits = hits.groupBy("item", "probe", "label").agg(F.min_by(F.struct("company", "rule"), "order").alias("x")).select("item", "probe", "label", "x.*")
         hits = cut(hits)
         found = hits if found is None else found.unionByName(hits)
         rest = cut(rest.join(hits.select("item", "probe"), ["item", "probe"], "left_anti"))
