@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 2_000  #: messages of a thread in one group
 LEAST = 8  #: words of a run that counts as quoted without any mark
+LONGEST_INTRO, LONGEST_CONTACT = 600, 200  #: characters beyond which a line is neither
 
 # --- fixed values: wordings of mail programs and of closings ------------------------------------------------
 CLOSINGS = """best|all the best|best regards|best wishes|kind regards|warm regards|warmly|regards|many thanks|thanks|thank you|thanks again|thanks and regards|with thanks|cheers|br|sincerely|sincerely yours|yours sincerely|yours faithfully|yours truly|respectfully|take care|talk soon
@@ -196,7 +197,7 @@ def kinds_of(lines: list[str], sender: str | None, covered: frozenset[int], sign
                 part = lines[i : i + size]
                 if len(part) < size or any(kind[k] for k in range(i, i + size)):
                     break
-                if _INTRO.match(" ".join(x.strip() for x in part)):
+                if sum(map(len, part)) <= LONGEST_INTRO and _INTRO.match(" ".join(x.strip() for x in part)):
                     k = i + size
                     while k < n and kind[k] == "blank":
                         k += 1
@@ -244,7 +245,7 @@ def kinds_of(lines: list[str], sender: str | None, covered: frozenset[int], sign
                     fresh = True
                 elif _POSTSCRIPT.match(lines[k]):
                     break
-                elif _signed(lines[k], names) or _CONTACT.match(lines[k]) or _SIGN.match(lines[k]) or _CLOSING.match(lines[k]) or k in signs or (not fresh and (taken or marked) and len(lines[k]) <= 60 and not re.search(r"[.!?]$", lines[k].strip())):
+                elif _signed(lines[k], names) or (len(lines[k]) <= LONGEST_CONTACT and _CONTACT.match(lines[k])) or _SIGN.match(lines[k]) or _CLOSING.match(lines[k]) or k in signs or (not fresh and (taken or marked) and len(lines[k]) <= 60 and not re.search(r"[.!?]$", lines[k].strip())):
                     kind[k], fresh, taken = "sign", False, True
                 else:
                     break
