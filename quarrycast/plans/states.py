@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrycast.functions import domains, mail, text
+from quarrycast.functions.funding import gate
 from quarrycast.operators import health, state
 from quarrycast.operators.listing import rank
 from quarrycast.plans.base import CANON, NOW_ISO, Registry, sql_company, sql_title, sql_week
-from quarrycast.plans.extraction import SENDER, SUBJECT, TOKENS, sql_company_in_subject
+from quarrycast.plans.extraction import GATE, SENDER, SUBJECT, TOKENS, sql_company_in_subject
 from quarrycast.runtime import table
 
 q = Registry()
@@ -133,13 +134,12 @@ def _d9(spark, d):
     return both.agg(F.count_if(F.col("g") == 1).alias("valid"), F.count_if(F.col("g") == 0).alias("dead"))
 
 
-@q("F16_K5_near_misses", None)
+@q("F16_K5_near_misses", f"SELECT DISTINCT url, 'funding.near_miss' AS rule_id, 'mentions money' AS reason FROM feed_items WHERE ({GATE}) = 'near_miss'")
 def _f16(spark, d):
     """Dead letters of headlines that mention money but are no funding news."""
-    from quarrycast.functions.funding import gate
-
-    f = table(spark, d, "feed_items", "item_id", "headline", "url").distinct()
-    return state.split_valid(f, gate(F.col("headline")) != "near_miss", "funding.near_miss", "mentions money", ["headline", "url"])[1]
+    f = table(spark, d, "feed_items", "headline", "url")
+    _, dead = state.split_valid(f, gate(F.col("headline")) != "near_miss", "funding.near_miss", "mentions money", ["headline", "url"])
+    return dead.select(F.get_json_object("raw_payload", "$.url").alias("url"), "rule_id", "reason").distinct()
 
 
 @q("D14_T4_window", "SELECT id, CAST(try_cast(left(announced_at, 10) AS DATE) + 60 AS VARCHAR) AS until FROM funding_items")

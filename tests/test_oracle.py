@@ -9,7 +9,7 @@ from quarrycast.plans import registry
 
 
 def norm(v):
-    if v is None or v != v or str(v) in ("NaT", "<NA>", "None"):
+    if v is None or str(v) in ("NaT", "<NA>", "None", "nan"):
         return None
     if hasattr(v, "tolist"):
         v = v.tolist()
