@@ -91,3 +91,21 @@ def truncate(c: Column, width: int) -> Column:
 def pad(c: Column, width: int) -> Column:
     """c filled with spaces to width code points; longer texts stay whole."""
     return F.when(F.char_length(c) < width, F.rpad(c, width, " ")).otherwise(c)
+
+
+def found_away_from(c: Column, pattern: str, excuse: str, reach: int) -> Column:
+    """c has a match of pattern with none of excuse within reach characters on either side.
+
+    Matches don't overlap. Their places come from the lengths of the pieces between them, so that all stays in the JVM.
+    """
+    p = java(pattern)
+    gaps, hits = F.split(c, p, -1), F.regexp_extract_all(c, F.lit(p), F.lit(0))
+    lengths = F.transform(hits, lambda h: F.char_length(h))
+    starts = F.aggregate(
+        F.sequence(F.lit(1), F.size(hits)),
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda s, i: F.struct((s["at"] + F.char_length(F.element_at(gaps, i)) + F.element_at(lengths, i)).alias("at"), F.concat(s["out"], F.array(s["at"] + F.char_length(F.element_at(gaps, i)))).alias("out")),
+        lambda s: s["out"],
+    )
+    around = F.transform(starts, lambda a, i: F.substring(c, F.greatest(F.lit(1), a + 1 - reach), F.element_at(lengths, i + 1) + reach + F.least(a, F.lit(reach))))
+    return F.coalesce(F.when(F.size(hits) > 0, F.exists(around, lambda t: ~t.rlike(java(excuse)))), F.lit(False))

@@ -8,7 +8,7 @@ from quarrycast.functions import dates, domains, funding, mail, text, urls
 from quarrycast.functions.rx import re2
 from quarrycast.plans.base import NOW, Registry, sql_company, sql_day, sql_instant, sql_title, sql_week
 from quarrycast.runtime import table
-from quarrycast.sources import boards, feeds, mailbox, pages
+from quarrycast.sources import boards, feeds, mailbox, pages, transport
 
 q = Registry()
 
@@ -269,3 +269,43 @@ def _s13(spark, d):
 def _s20(spark, d):
     known = table(spark, d, "feed_items", "url", "item_id").groupBy(F.col("url").alias("article_url")).agg(F.min("item_id").alias("item_id"))
     return table(spark, d, "funding_items", "article_url").distinct().join(known, "article_url")
+
+
+@q("S18_retries", "SELECT event_id, event_id % 4 < 3 AND (event_type = 'error' OR event_type = 'view') AS again, CASE WHEN event_id % 5 = 0 THEN least(event_id % 60, 30)::DOUBLE ELSE pow(2, event_id % 4 - 1) END AS wait FROM events")
+def _s18(spark, d):
+    t, n = F.col("event_type"), F.col("event_id") % 4
+    status = F.when(t == "error", 503).when(t == "view", 429).when(t == "click", 404).otherwise(200)
+    after = F.when(F.col("event_id") % 5 == 0, (F.col("event_id") % 60).cast("string"))
+    return table(spark, d, "events", "event_id", "event_type").select("event_id", transport.again(status, n).alias("again"), transport.wait(n, after).alias("wait"))
+
+
+@q("S19_robots", "SELECT id, NOT contains(url, '/lever/') AS allowed FROM jobs")
+def _s19(spark, d):
+    rules = F.lit("User-agent: *\nDisallow: /lever/\n")
+    return table(spark, d, "jobs", "id", "url").select("id", transport.allowed(rules, "quarrycast", F.col("url")).alias("allowed"))
+
+
+AWAY = r"\b(?:rota|review|share)\w*\b"
+EXCUSE = r"\bteam\b|\bgroup"
+
+
+@q(
+    "N2a_found_away_from",
+    f"""WITH t AS (SELECT doc_id, text, regexp_split_to_array(text, {re2(AWAY)}) AS g, regexp_extract_all(text, {re2(AWAY)}, 0) AS m FROM documents),
+p AS (SELECT doc_id, text, i, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS pos, length(m[i]) AS n FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM t)),
+h AS (SELECT doc_id, bool_or(NOT regexp_matches(substr(text, greatest(1, pos + 1 - 80), n + 80 + least(pos, 80)), {re2(EXCUSE)})) AS f FROM p GROUP BY 1)
+SELECT d.doc_id, coalesce(h.f, false) AS found FROM documents d LEFT JOIN h USING (doc_id)""",
+)
+def _n2a(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.found_away_from(c("text"), AWAY, EXCUSE, 80).alias("found"))
+
+
+@q(
+    "R9_resolution",
+    f"""SELECT id, CASE WHEN coalesce({LABEL.replace('domain', 'slug || ' + chr(39) + '.example' + chr(39))} <> '' AND len({TOKENS.format('name')}) > 0 AND ({LABEL.replace('domain', 'slug || ' + chr(39) + '.example' + chr(39))} = {JOINED} OR {LABEL.replace('domain', 'slug || ' + chr(39) + '.example' + chr(39))} = ({TOKENS.format('name')})[1] OR (starts_with({JOINED}, {LABEL.replace('domain', 'slug || ' + chr(39) + '.example' + chr(39))}) AND length({LABEL.replace('domain', 'slug || ' + chr(39) + '.example' + chr(39))}) >= 5) OR (starts_with({LABEL.replace('domain', 'slug || ' + chr(39) + '.example' + chr(39))}, {JOINED}) AND length({JOINED}) >= 5)), false) THEN 'link' WHEN len({DTOKENS.format('name')}) < 2 THEN 'single word' ELSE 'to verify' END AS reason FROM companies""",
+)
+def _r9(spark, d):
+    """By a link on the page that fits the name; else by guesses that are to be verified, for names of several words."""
+    hosts = domains.candidate_domains(PAGE())
+    linked = F.exists(hosts, lambda h: domains.domain_matches_name(h, c("name")))
+    return table(spark, d, "companies", "id", "name", "slug").select("id", F.when(linked, "link").when(F.size(domains.guess_domains(c("name"))) == 0, "single word").otherwise("to verify").alias("reason"))

@@ -11,6 +11,7 @@ from quarrycast.operators import listing, state
 from quarrycast.operators.listing import ISO, JobFilter, rank
 from quarrycast.plans.base import CANON, LISTED, LISTED_COLUMNS, NOW, NOW_ISO, ORDER, Registry, sql_instant
 from quarrycast.runtime import table
+from quarrycast.sources import sinks
 
 q = Registry()
 SINCE = NOW - timedelta(days=60)
@@ -249,12 +250,7 @@ def _a8(spark, d):
 
 @q("K2_values", "SELECT id::VARCHAR AS id, coalesce(name, '') AS name, coalesce(domain, '') AS domain, coalesce(watchlist_enabled::VARCHAR, '') AS enabled, coalesce(funding_stage, '') AS stage FROM companies")
 def _k2(spark, d):
-    return cells(companies(spark, d).select("id", "name", "domain", F.col("watchlist_enabled").alias("enabled"), F.col("funding_stage").alias("stage")))
-
-
-def cells(df):
-    """All values as texts, null as the empty one: what a sheet gets."""
-    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+    return sinks.cells(companies(spark, d).select("id", "name", "domain", F.col("watchlist_enabled").alias("enabled"), F.col("funding_stage").alias("stage")))
 
 
 @q(
@@ -334,3 +330,39 @@ def _rm1(spark, d):
     n = contacts(spark, d).groupBy("company_id").agg(F.count("*").alias("contacts"))
     out = applied(spark, d).join(n, "company_id", "left")
     return out.select("id", "company", "role", "status", F.col("applied_at").cast("string").alias("applied_at"), F.datediff(F.lit("2026-10-15").cast("date"), "applied_at").cast("bigint").alias("days"), F.coalesce("contacts", F.lit(0)).alias("contacts"))
+
+
+# --- validity ------------------------------------------------------------------------------------------------------
+EMAILED = "t AS (SELECT c_custkey AS id, 1 + c_custkey % 150 AS company_id, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN 'a@' || lower(trim(k.domain)) WHEN 1 THEN 'a@mail.' || lower(trim(k.domain)) WHEN 2 THEN 'a@other.example' END AS email, lower(trim(k.domain)) AS domain, CASE WHEN c_custkey % 3 = 0 THEN 'inferred' ELSE 'published' END AS confidence FROM customer JOIN companies k ON k.id = 1 + c_custkey % 150)"
+
+
+def emailed(spark, d):
+    k = table(spark, d, "companies", "id", "domain").select(F.col("id").alias("company_id"), F.lower(F.trim("domain")).alias("domain"))
+    n = F.col("id") % 4
+    email = F.when(n == 0, F.concat(F.lit("a@"), "domain")).when(n == 1, F.concat(F.lit("a@mail."), "domain")).when(n == 2, F.lit("a@other.example"))
+    return contacts(spark, d).join(k, "company_id").withColumn("email", email).withColumn("confidence", F.when(F.col("id") % 3 == 0, "inferred").otherwise("published"))
+
+
+@q("F18_domain_guard", f"WITH {EMAILED}, g AS (SELECT *, split_part(email, '@', 2) AS h FROM t) SELECT id, CASE WHEN email IS NULL OR domain IS NULL OR h = domain OR ends_with(h, '.' || domain) OR ends_with(domain, '.' || h) THEN email END AS email, coalesce(NOT (email IS NULL OR domain IS NULL OR h = domain OR ends_with(h, '.' || domain) OR ends_with(domain, '.' || h)), false) AS blanked FROM g")
+def _f18(spark, d):
+    h = F.substring_index("email", "@", -1)
+    fine = F.coalesce(F.col("email").isNull() | F.col("domain").isNull() | (h == F.col("domain")) | h.endswith(F.concat(F.lit("."), "domain")) | F.col("domain").endswith(F.concat(F.lit("."), h)), F.lit(False))
+    return emailed(spark, d).select("id", F.when(fine, F.col("email")).alias("email"), (~fine).alias("blanked"))
+
+
+@q("P3_masked", f"WITH {EMAILED} SELECT id, CASE WHEN confidence = 'inferred' THEN '[UNVERIFIED: ' || email || ']' ELSE email END AS email FROM t")
+def _p3(spark, d):
+    return emailed(spark, d).select("id", F.when(F.col("confidence") == "inferred", F.concat(F.lit("[UNVERIFIED: "), "email", F.lit("]"))).otherwise(F.col("email")).alias("email"))
+
+
+@q("F17_vocabulary", "SELECT priority IN ('high', 'normal') AS valid, count(*) AS n FROM (SELECT coalesce(priority, '') AS priority FROM companies) GROUP BY 1")
+def _f17(spark, d):
+    c = companies(spark, d).select("id", "name", F.coalesce("priority", F.lit("")).alias("priority"))
+    good, dead = state.split_valid(c, F.col("priority").isin("high", "normal"), "company.bad_priority", "unknown priority", ["id", "priority"])
+    return good.select(F.lit(True).alias("valid")).unionByName(dead.select(F.lit(False).alias("valid"))).groupBy("valid").agg(F.count("*").alias("n"))
+
+
+@q("P5_RM8_due_labels", f"WITH {APPLICATION} SELECT id, CASE WHEN n < 0 THEN 'OVERDUE' WHEN n = 0 THEN 'DUE TODAY' ELSE 'in ' || n || 'd' END AS label FROM (SELECT id, date_diff('day', DATE '1998-06-15', applied_at + CASE isodow(applied_at) WHEN 6 THEN 6 WHEN 7 THEN 5 ELSE 7 END) AS n FROM a)")
+def _p5(spark, d):
+    n = F.datediff(dates.add_business_days(F.col("applied_at"), 5), F.lit("1998-06-15").cast("date"))
+    return applications(spark, d).select("id", F.when(n < 0, "OVERDUE").when(n == 0, "DUE TODAY").otherwise(F.concat(F.lit("in "), n.cast("string"), F.lit("d"))).alias("label"))
