@@ -123,7 +123,7 @@ def new_ids(df: DataFrame, state: DataFrame, order: list[str], id_name: str = "i
     from quarrycast.operators.listing import rank
 
     top = state.agg(F.coalesce(F.max(id_name), F.lit(0)).alias("q__top"))
-    return rank(df, [F.col(c) for c in order], "q__rank").join(F.broadcast(top), F.lit(True)).select((F.col("q__top") + F.col("q__rank")).alias(id_name), *df.columns)
+    return rank(df, [F.col(c) for c in order], "q__rank").select((top.scalar() + F.col("q__rank")).alias(id_name), *df.columns)
 
 
 def sync_members(companies: DataFrame, members: DataFrame, optional: list[str], owned: list[str]) -> DataFrame:

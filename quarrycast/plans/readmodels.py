@@ -197,7 +197,7 @@ def _rm4(spark, d):
 def _o4(spark, d):
     low = table(spark, d, "funding_items", "id", "company_name", "announced_at", "extraction_confidence").where("extraction_confidence = 'low'").drop("extraction_confidence")
     total = low.agg(F.count("*").alias("total"))
-    return low.orderBy(F.col("announced_at").desc_nulls_last(), F.col("id").desc()).limit(10).join(F.broadcast(total), F.lit(True))
+    return low.orderBy(F.col("announced_at").desc_nulls_last(), F.col("id").desc()).limit(10).withColumn("total", total.scalar())
 
 
 @q(
