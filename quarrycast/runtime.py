@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,25 @@ def local_session(name: str = "quarrycast", cpus: int | str = "*", memory: str =
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarrycast_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(sc._temp_dir, "quarrycast-package.zip")  # the driver's own folder, served to all executors
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._quarrycast_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The columns of one table of the data folder; other columns never reach the scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns) if columns else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
