@@ -13,7 +13,7 @@ def p1_found(spark, sf_dir):
     sums = units.read_amounts(spread(table(spark, sf_dir, "funding_items", "id", "amount_raw", "currency", "raw_text")), "id", "amount_raw", "currency", "raw_text")
     both = pays.withColumn("tab", F.lit("jobs")).unionByName(sums.withColumn("tab", F.lit("funding_items")))
     found = units.canonical(both, table(spark, sf_dir, "unit_factors", "kind", "unit_code", "factor"))
-    return found.withColumn("usd", F.round("canonical").cast("bigint")).where("usd is not null and row_id is not null").select("tab", "row_id", "field_name", "usd").distinct()
+    return found.withColumn("usd", F.rint("canonical").cast("bigint")).where("usd is not null and row_id is not null").select("tab", "row_id", "field_name", "usd").distinct()
 
 
 def p2_found(spark, sf_dir):
