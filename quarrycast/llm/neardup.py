@@ -7,8 +7,8 @@ which the node chooses. A node of at most `leaf` members is compared exhaustivel
 again, on `branch` coordinates. A pair of similarity s meets at a root with probability s, and below it
 with s(1 - (1 - s q)^branch) where q is the same one level deeper, so that at s = 0.7 and two branches no
 fewer than 0.57 of the pairs survive any depth; independent trees raise that to the target recall.
-Nodes that are still large at the last level are compared in full too, split into blocks of pairs over
-tasks. Candidates whose sketches are too far apart are dropped (4 standard deviations below the threshold),
+Nodes that are still large at the last level, and those that branching hardly thins out (clusters of texts
+that are all alike), are compared in full too, split into blocks of pairs over tasks. Candidates whose sketches are too far apart are dropped (4 standard deviations below the threshold),
 the rest is verified on the sets, so precision is 1.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from quarrycast.runtime import cut
 COORDINATES = 64  #: minhash values of a text that nodes choose from
 BITS = 256  #: one-bit minhashes in a sketch
 SIGMAS = 4.0  #: standard deviations of the sketch distance that a true pair may be off
-BLOCKS = 8  #: parts into which the members of a still large last node are split
+BLOCK = 2_000  #: members of a part, of which two at a time are compared in a node that isn't branched any more
+DENSE = 0.8  #: a node with at least this share of its parent's members is one that branching can't thin out
 
 
 def trees_for(threshold: float, recall: float, branch: int) -> int:
@@ -103,25 +105,37 @@ def _branches(node: Column, hashes: Column, level: int, how_many: int) -> Column
     return F.array(*[F.xxhash64(node, F.lit(level), F.lit(k), p, F.element_at(hashes, p + 1)) for k, p in enumerate(picks)])
 
 
-def _forest(reps: DataFrame, trees: int, branch: int, leaf: int, levels: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Members (node, id, size, s0..) of all leaves, level by level, and those of nodes still large at the end."""
+def _forest(reps: DataFrame, trees: int, branch: int, leaf: int, levels: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Members (node, id, size, s0..) of all leaves by level, and (with n, the node's members) of nodes to compare in blocks."""
     keep = ["id", "size", *(f"s{k}" for k in range(BITS // 64))]
     # roots: every tree has its own coordinate (the trees' number is far below COORDINATES)
-    members = reps.select(F.explode(F.array(*[F.xxhash64(F.lit(k), F.element_at("hashes", k + 1)) for k in range(trees)])).alias("node"), *keep)
-    leaves = []
+    roots = F.array(*[F.xxhash64(F.lit(k), F.element_at("hashes", k + 1)) for k in range(trees)])
+    members = reps.select(F.explode(roots).alias("node"), F.lit(None).cast("bigint").alias("parent"), *keep)
+    leaves, blocked = [], []
     for level in range(levels + 1):
         counts = members.groupBy("node").agg(F.count("*").alias("n"))
         sized = cut(members.join(counts.where("n > 1"), "node"))
         leaves.append(sized.where(F.col("n") <= leaf).select("node", *keep))
         large = sized.where(F.col("n") > leaf)
-        if level == levels:
-            return leaves, large.select("node", *keep)
-        if large.isEmpty():
-            return leaves, None
-        # only members of large nodes need their minhash values again
-        large = large.join(reps.select("id", "hashes"), "id")
-        members = large.select(F.explode(_branches(F.col("node"), F.col("hashes"), level, branch)).alias("node"), *keep)
-    return leaves, None
+        dense = F.coalesce(F.col("n") >= DENSE * F.col("parent"), F.lit(False)) | F.lit(level == levels)
+        blocked.append(large.where(dense).select("node", "n", *keep))
+        thin = large.where(~dense)
+        if level == levels or thin.isEmpty():
+            break
+        # only members of nodes that branch need their minhash values again
+        thin = thin.join(reps.select("id", "hashes"), "id")
+        members = thin.select(F.explode(_branches(F.col("node"), F.col("hashes"), level, branch)).alias("node"), F.col("n").alias("parent"), *keep)
+    return leaves, blocked
+
+
+def _block_pairs(large: DataFrame, threshold: float) -> DataFrame:
+    """Near pairs (a, b) of nodes that aren't branched: every member meets every other in one pair of parts."""
+    parts = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64("id"), parts)
+    all_parts = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    left, right = large.withColumn("i", own).withColumn("j", all_parts), large.withColumn("j", own).withColumn("i", all_parts)
+    on = (F.col("a.node") == F.col("b.node")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    return left.alias("a").join(right.alias("b"), on & (F.col("a.id") < F.col("b.id")) & _near("a", "b", threshold)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def _near(a: str, b: str, threshold: float) -> Column:
@@ -145,18 +159,11 @@ def class_pairs(df: DataFrame, key: str, texts: list[str], threshold: float = 0.
     members = cut(base.select("id", "class").distinct().join(members, "class").select("id", "rep"))
     reps = base.join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"])
     trees = trees_for(threshold, recall, branch)
-    leaves, large = _forest(reps.drop("class", "grams"), min(trees, COORDINATES), branch, leaf, levels)
-    near = [x.alias("a").join(x.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.id") < F.col("b.id")) & _near("a", "b", threshold)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")) for x in leaves]
-    if large is not None:
-        block = F.pmod(F.xxhash64("id"), F.lit(BLOCKS))
-        left = large.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)).cast("array<bigint>")))
-        right = large.withColumn("j", block).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)).cast("array<bigint>")))
-        on = (F.col("a.node") == F.col("b.node")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
-        near.append(left.alias("a").join(right.alias("b"), on & (F.col("a.id") < F.col("b.id")) & _near("a", "b", threshold)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
-    pairs = near[0]
-    for x in near[1:]:
-        pairs = pairs.unionByName(x)
-    pairs = cut(pairs.distinct())
+    leaves, blocked = _forest(reps.drop("class", "grams"), min(trees, COORDINATES), branch, leaf, levels)
+    # nodes of different levels have different hashes, so all leaves are joined at once
+    small = reduce(DataFrame.unionByName, leaves)
+    near = small.alias("a").join(small.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.id") < F.col("b.id")) & _near("a", "b", threshold)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    pairs = cut(near.unionByName(_block_pairs(reduce(DataFrame.unionByName, blocked), threshold)).distinct())
     sets = base.select("id", "grams")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")).dropDuplicates(["a"]), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")).dropDuplicates(["b"]), "b")
