@@ -272,33 +272,31 @@ def kinds_of(lines: list[str], sender: str | None, covered: frozenset[int], sign
     return [k or "new" for k in kind]
 
 
-def _scan_group(rows: pd.DataFrame) -> Iterator[tuple[int, list[int], list[int]]]:
+def _scan_group(rows: list[tuple]) -> Iterator[tuple[int, list[int], list[int]]]:
     """(row, covered lines, signature lines) of each target of a group, from its earlier sources.
 
-    Sentences are added to the automaton in the order of time; it is built anew only for targets that have
-    a source between them, and only from sentences that some target has, which bounds its size.
+    rows are (at, gmail_id, from_addr, body, source, target). They are taken in the order of time, unknown times
+    last; the automaton is built anew only for targets that have a new source before them.
     """
-    if len(rows) > 1:
-        rows = rows.sort_values(["at", "gmail_id"], kind="stable", na_position="last")
-    split = {i: lines_of(b) for i, b in zip(rows.index, rows["body"])}
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None or rows[k][0] != rows[k][0], rows[k][0] or 0, rows[k][1]))
     texts: set[str] = set()
     closes: dict[str, set[str]] = {}
     built: Patterns | None = None
     signed: dict[str, Patterns] = {}
-    for i, r in zip(rows.index, rows.itertuples()):
-        sender = r.from_addr or ""
-        if r.target:
+    for n, k in enumerate(order):
+        _, _, sender, body, source, target = rows[k]
+        lines = lines_of(body)
+        if target:
             built = built or Patterns(texts)
             if sender in closes and sender not in signed:
                 signed[sender] = Patterns(closes[sender])
-            lines = split[i]
-            yield i, sorted(built.covered(lines)), sorted(signed[sender].covered(lines)) if sender in signed else []
-        if r.source:
-            new = sentences(split[i])
+            yield k, sorted(built.covered(lines)), sorted(signed[sender].covered(lines)) if sender in signed else []
+        if source and n + 1 < len(order):  # nothing comes after the last
+            new = sentences(lines)
             if not new <= texts:
                 texts |= new
                 built = None
-            block = {" ".join(_WORD.findall(x.lower())) for x in closing_block(split[i])} - {""}
+            block = {" ".join(_WORD.findall(x.lower())) for x in closing_block(lines)} - {""}
             if not block <= closes.setdefault(sender, set()):
                 closes[sender] |= block
                 signed.pop(sender, None)
@@ -318,13 +316,15 @@ def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _scan_groups(rows: pd.DataFrame) -> pd.DataFrame:
-    """The results of _scan_group() for each group of rows."""
-    out = []
-    for _, index in rows.groupby(["thread", "i", "j"], sort=False).indices.items():
-        group = rows.iloc[index]
-        for k, c, s in _scan_group(group):
-            r = group.loc[k]
-            out.append((r["gmail_id"], r["from_addr"], r["body"], c, s))
+    """The results of _scan_group() for each group of rows, which come sorted by group."""
+    keys = list(zip(rows["thread"], rows["i"], rows["j"]))
+    plain = list(zip(rows["at"].tolist(), rows["gmail_id"], rows["from_addr"], rows["body"], rows["source"].tolist(), rows["target"].tolist()))
+    out, begin = [], 0
+    for end in range(1, len(keys) + 1):
+        if end == len(keys) or keys[end] != keys[begin]:
+            group = plain[begin:end]
+            out += [(group[k][1], group[k][2], group[k][3], c, s) for k, c, s in _scan_group(group)]
+            begin = end
     return pd.DataFrame(out, columns=["gmail_id", "from_addr", "body", "covered", "signs"])
 
 
