@@ -9,6 +9,7 @@ over Arrow batches and yields unit codes; factors are joined from a table of uni
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,17 +36,24 @@ SCALES = {
     "crore": ["cr", "crore", "crores", "करोड़"],
     "billion": ["b", "bn", "billion", "billions"],
 }
+#: English, German, French; without accents, as fold() leaves them.
 PERIODS = {
-    "year": ["p.a.", "p.a", "per annum", "annual", "annually", "yearly", "per year", "a year", "an year", "/year", "/yr", "/y", "per yr", "lpa", "ctc"],
-    "month": ["p.m.", "p.m", "per month", "a month", "monthly", "/month", "/mo"],
-    "week": ["p.w.", "p.w", "per week", "a week", "weekly", "/week", "/wk", "by the week"],
-    "day": ["p.d.", "p.d", "per diem", "per day", "a day", "daily", "/day", "/d", "day rate"],
-    "hour": ["p.h.", "per hour", "an hour", "a hour", "hourly", "/hour", "/hr", "/h"],
+    "year": ["p.a.", "p.a", "per annum", "annual", "annually", "yearly", "per year", "a year", "an year", "/year", "/yr", "/y", "per yr", "lpa", "ctc"]
+    + ["pro jahr", "im jahr", "je jahr", "jahrlich", "jahresgehalt", "bruttojahresgehalt", "/jahr", "par an", "par annee", "annuel", "annuelle", "annuels", "annuelles", "annuellement", "l'annee", "/an"],
+    "month": ["p.m.", "p.m", "per month", "a month", "monthly", "/month", "/mo"]
+    + ["pro monat", "im monat", "je monat", "monatlich", "monatsgehalt", "bruttomonatsgehalt", "monatslohn", "/monat", "par mois", "au mois", "mensuel", "mensuelle", "mensuels", "mensuelles", "mensuellement", "/mois"],
+    "week": ["p.w.", "p.w", "per week", "a week", "weekly", "/week", "/wk", "by the week"]
+    + ["pro woche", "die woche", "je woche", "wochentlich", "wochenlohn", "/woche", "par semaine", "a la semaine", "hebdomadaire", "hebdomadaires", "/semaine"],
+    "day": ["p.d.", "p.d", "per diem", "per day", "a day", "daily", "/day", "/d", "day rate"]
+    + ["pro tag", "am tag", "je tag", "taglich", "tagessatz", "tageslohn", "/tag", "par jour", "a la journee", "journalier", "journaliere", "journaliers", "/jour"],
+    "hour": ["p.h.", "per hour", "an hour", "a hour", "hourly", "/hour", "/hr", "/h"]
+    + ["pro stunde", "die stunde", "je stunde", "stundlich", "stundenlohn", "stundensatz", "/stunde", "/std", "par heure", "a l'heure", "de l'heure", "l'heure", "horaire", "horaires", "/heure"],
 }
 NUMBER_WORDS = {w: n for n, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 TENS = {w: 10 * n for n, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
-#: Words that make a sentence one on pay.
-PAY = r"\b(?:pay|paid|salary|salaries|compensation|ctc|remuneration|wages?|stipend|package|(?:hourly|day|daily|weekly) rate|we offer)\b"
+#: Words that make a sentence one on pay, in the same languages.
+PAY = r"\b(?:pay|paid|salary|salaries|compensation|ctc|remuneration|wages?|stipend|package|(?:hourly|day|daily|weekly) rate|we offer"
+PAY += r"|(?:(?:brutto|netto|grund|jahres|monats|wochen|tages|stunden)*(?:gehalt|lohn)|gehalter|gehalts\w*|lohne|vergutung|stundensatz|tagessatz|salaires?|paie|taux (?:horaire|journalier)|tarif journalier))\b"
 # -------------------------------------------------------------------------------------------------------------
 SCALE_FACTORS = {"one": 1.0, "thousand": 1e3, "lakh": 1e5, "million": 1e6, "crore": 1e7, "billion": 1e9}
 
@@ -115,12 +123,21 @@ _DIGITS = r"\d+(?:[,.]\d+)*"
 _GLUE = r"[\s()]*"
 _CUR = _alternatives(CURRENCIES[c][i] for c in CURRENCIES for i in range(len(CURRENCIES[c])) if CURRENCIES[c][i] not in ("lpa", "teur"))
 _SC = _alternatives(SCALES[c][i] for c in SCALES for i in range(len(SCALES[c])) if SCALES[c][i] != "teur")
-#: prefix currency, number, scale; a second one after a dash or "to" or "and"; then currency, scale and period in any order
-_AMOUNT = re.compile(rf"(?P<p1>{_CUR})?{_GLUE}(?P<n1>(?(p1)|(?<![\w.,])){_DIGITS}|(?<![^\W\d_])(?:{_WORDNUM}))\s*(?P<s1>{_SC})?(?:\s*(?:-|–|—|to\b|and\b)\s*(?P<p2>{_CUR})?\s*(?P<n2>{_DIGITS}))?(?P<tail>(?:{_GLUE}(?:{_alternatives(_FORMS)}))*)", re.I)
+#: prefix currency, number, scale; a second one after a dash or "to", "and", "bis", "à"; then currency, scale and period in any order
+_AMOUNT = re.compile(rf"(?P<p1>{_CUR})?{_GLUE}(?P<n1>(?(p1)|(?<![\w.,])){_DIGITS}|(?<![^\W\d_])(?:{_WORDNUM}))\s*(?P<s1>{_SC})?(?:\s*(?:-|–|—|to\b|and\b|bis\b|[aà]\b)\s*(?P<p2>{_CUR})?\s*(?P<n2>{_DIGITS}))?(?P<tail>(?:{_GLUE}(?:{_alternatives(_FORMS)}))*)", re.I)
 _PAYRX = re.compile(PAY, re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^a-z])|[\r\n]+")
 
 
+#: Latin letters to those without accents, typographic apostrophes to plain ones.
+_PLAIN = {c: b for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (b := unicodedata.normalize("NFD", chr(c))[0]).isascii()} | dict.fromkeys(range(0x300, 0x370)) | {0x2019: "'"}
+
+
+def fold(text: str) -> str:
+    """text without the accents of Latin letters."""
+    return text if text.isascii() else text.translate(_PLAIN)
+
+
 def number(text: str) -> float | None:
     """The number that text writes in digits, with grouping or decimal marks, or in words."""
     t = text.strip().lower()
@@ -146,7 +163,7 @@ def number(text: str) -> float | None:
 def read_unit(text: str | None) -> Quantity:
     """The currency, scale and period that a unit expression such as 'USD k p.a.' or 'INR/mo' names."""
     q = Quantity()
-    for m in _UNIT.finditer(text or ""):
+    for m in _UNIT.finditer(fold(text or "")):
         for kind, code in _FORMS[re.sub(r"\s+", " ", m[0].lower())]:
             if getattr(q, kind) is None:
                 setattr(q, kind, code)
@@ -191,7 +208,7 @@ def read_pay(recorded: list[float | None], unit: str | None, text: str | None) -
     known = [r for r in recorded if r]
     numbered: list[tuple[Quantity, str | None]] = []
     plain = Quantity()
-    for sentence in _SENTENCE.split(text):
+    for sentence in map(fold, _SENTENCE.split(text)):
         hits = [m.start() for m in _PAYRX.finditer(sentence)]
         if not hits:
             continue

@@ -95,3 +95,27 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "kind string, unit_code string, factor double")
     both = units.read_pays(jobs, "id", ["pay_min", "pay_max"], "pay_currency", "jd_text").unionByName(units.read_amounts(items, "id", "amount_raw", "currency", "raw_text"))
     assert units.canonical(both, none).count() == 0
+
+
+@pytest.mark.parametrize(
+    "recorded,unit,text,want",
+    [
+        ([6900, 9550], "GBP", "We ship. Gehalt: Angabe brutto pro Monat. Bye.", ("GBP", None, "month")),
+        ([55.5, 77], "CAD", "- R\u00e9mun\u00e9ration indiqu\u00e9e \u00e0 l'heure.", ("CAD", None, "hour")),
+        ([55.5, 77], "CAD", "Re\u0301mune\u0301ration indique\u0301e a\u0300 l\u2019heure.", ("CAD", None, "hour")),
+        ([40, 60], "EUR", "Die Verg\u00fctung wird st\u00fcndlich angegeben.", ("EUR", None, "hour")),
+        ([61000, 70000], None, "Gehalt: 61000 bis 70000 Euro im Jahr.", ("EUR", "one", "year")),
+        ([500, None], None, "Tagessatz: 500 EUR.", ("EUR", "one", "day")),
+        ([2400, 3100], None, "Salaire brut : 2400 \u00e0 3100 \u20ac par mois.", ("EUR", "one", "month")),
+        ([48, None], "EUR k", "Le salaire est annuel.", ("EUR", "thousand", "year")),
+        ([40, 60], "EUR", "Der Kurs wird monatlich abgehalten.", ("EUR", None, None)),
+    ],
+)
+def test_statements_in_german_and_french(recorded, unit, text, want):
+    q = read_pay(recorded, unit, text)
+    assert (q.currency, q.scale, q.period) == want
+
+
+def test_accents_in_unit_fields():
+    assert read_unit("EUR j\u00e4hrlich").period == "year"
+    assert read_unit("71 करोड़ रुपये").scale == "crore"
