@@ -127,9 +127,13 @@ class Patterns:
 
     def covered(self, lines: list[str]) -> frozenset[int]:
         """The lines all of whose words lie in merged matches."""
-        tokens, at = words_at(lines)
+        return lines_within(words_at(lines), self.spans(lines))
+
+    def spans(self, lines: list[str]) -> list[list[int]]:
+        """[begin, end] of the merged matches in the spaced words of the lines."""
+        tokens, _ = words_at(lines)
         if not tokens or not self.any:
-            return frozenset()
+            return []
         text = f" {' '.join(tokens)} "
         merged: list[list[int]] = []
         for end, size in sorted((e, s) for e, s in self.auto.iter(text)):
@@ -140,15 +144,29 @@ class Patterns:
                 merged[-1][1] = max(end, merged[-1][1])
             else:
                 merged.append([begin, end])
-        out, pos, k = {*at}, 0, 0
-        for w, i in zip(tokens, at):
-            a, b = pos, pos + len(w) + 1  # with the spaces on both sides
-            while k < len(merged) and merged[k][1] < b:
-                k += 1
-            if k == len(merged) or merged[k][0] > a:
-                out.discard(i)
-            pos += len(w) + 1
-        return frozenset(out)
+        return merged
+
+
+def lines_within(words: tuple[list[str], list[int]], spans: list[list[int]]) -> frozenset[int]:
+    """The lines all of whose words, as words_at() gives them, lie in the spans, those of several automata merged."""
+    if not spans:
+        return frozenset()
+    tokens, at = words
+    merged: list[list[int]] = []
+    for begin, end in sorted(spans):
+        if merged and begin <= merged[-1][1]:
+            merged[-1][1] = max(end, merged[-1][1])
+        else:
+            merged.append([begin, end])
+    out, pos, k = {*at}, 0, 0
+    for w, i in zip(tokens, at):
+        a, b = pos, pos + len(w) + 1  # with the spaces on both sides
+        while k < len(merged) and merged[k][1] < b:
+            k += 1
+        if k == len(merged) or merged[k][0] > a:
+            out.discard(i)
+        pos += len(w) + 1
+    return frozenset(out)
 
 
 def _names(sender: str | None) -> list[str]:
@@ -273,7 +291,7 @@ def kinds_of(lines: list[str], sender: str | None, covered: frozenset[int], sign
 
 
 def _scan_group(rows: list[tuple]) -> Iterator[tuple[int, list[int], list[int]]]:
-    """(row, covered lines, signature lines) of each target of a group, from its earlier sources.
+    """(row, spans of earlier sentences, of closing blocks), begins and ends in turn, of each target of a group, from its earlier sources.
 
     rows are (at, gmail_id, from_addr, body, source, target). They are taken in the order of time, unknown times
     last; the automaton is built anew only for targets that have a new source before them.
@@ -290,7 +308,7 @@ def _scan_group(rows: list[tuple]) -> Iterator[tuple[int, list[int], list[int]]]
             built = built or Patterns(texts)
             if sender in closes and sender not in signed:
                 signed[sender] = Patterns(closes[sender])
-            yield k, sorted(built.covered(lines)), sorted(signed[sender].covered(lines)) if sender in signed else []
+            yield k, *([x for span in p.spans(lines) for x in span] if p else [] for p in (built, signed.get(sender)))
         if source and n + 1 < len(order):  # nothing comes after the last
             new = sentences(lines)
             if not new <= texts:
@@ -329,10 +347,13 @@ def _scan_groups(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _decide(rows: pd.DataFrame) -> pd.DataFrame:
-    """The new lines of messages with their covered and signature lines."""
+    """The new lines of messages with the spans that earlier sentences and closing blocks cover."""
     ids, nos = [], []
     for r in rows.itertuples():
-        kinds = kinds_of(lines_of(r.body), r.from_addr, frozenset(map(int, r.covered)), frozenset(map(int, r.signs)))
+        lines = lines_of(r.body)
+        words = words_at(lines)
+        covered, signs = (lines_within(words, [[int(a), int(b)] for a, b in zip(x[::2], x[1::2])]) for x in (r.covered, r.signs))
+        kinds = kinds_of(lines, r.from_addr, covered, signs)
         new = [k + 1 for k, x in enumerate(kinds) if x == "new"]
         ids += [r.gmail_id] * len(new)
         nos += new
@@ -364,5 +385,5 @@ def written_lines(df: DataFrame, block: int = BLOCK) -> DataFrame:
     whole = placed(rows.where("parts = 1")).mapInPandas(lambda batches: map(_decide, map(_scan_groups, _whole_groups(batches))), result)
     # messages of split threads have a row for each block: what the blocks found is united before the decision
     split = placed(rows.where("parts > 1")).mapInPandas(lambda batches: map(_scan_groups, _whole_groups(batches)), "gmail_id string, from_addr string, body string, covered array<int>, signs array<int>")
-    split = split.groupBy("gmail_id", "from_addr", "body").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.array_distinct(F.flatten(F.collect_list("signs"))).alias("signs"))
+    split = split.groupBy("gmail_id", "from_addr", "body").agg(F.flatten(F.collect_list("covered")).alias("covered"), F.flatten(F.collect_list("signs")).alias("signs"))
     return whole.unionByName(split.mapInPandas(lambda batches: map(_decide, batches), result)).distinct()

@@ -56,3 +56,17 @@ def test_hot_thread_in_blocks(spark):
 def test_patterns_cover_whole_lines():
     p = mail_text.Patterns({"we met at noon", "see you soon"})
     assert p.covered(["> We met", "> at noon.", "See you", "soon or later"]) == frozenset({0, 1, 2})
+
+
+def test_lines_that_join_two_messages_in_blocks(spark):
+    """Lines that hold the end of one earlier message's sentence and the start of another's are quoted, also where
+    the two messages are in different blocks."""
+    one = [f"Point {i} of the long and careful plan that we made together last week in town." for i in range(8)]
+    two = [f"Remark {i} on the budget which nobody but the two of us has read so far." for i in range(8)]
+    words = " ".join(x for pair in zip(one, two) for x in pair).split()
+    quote = "\n".join(" ".join(words[k : k + 11]) for k in range(0, len(words), 11))
+    data = [(f"s{i}", "t", ANN, x, f"2025-03-01T00:00:{i:02}+00:00", None, "") for i, x in enumerate(one + two)]
+    data.append(("z", "t", BOB, "I agree.\n\n" + quote, "2025-03-02T00:00:00+00:00", None, ""))
+    df = spark.createDataFrame(data, SCHEMA)
+    for block in (2_000, 4):
+        assert [r for r in rows(mail_text.written_lines(df, block=block)) if r[0] == "z"] == [("z", 1)]
