@@ -11,8 +11,9 @@ from quarrycast.runtime import spread, table
 def p1_found(spark, sf_dir):
     pays = units.read_pays(spread(table(spark, sf_dir, "jobs", "id", "pay_min", "pay_max", "pay_currency", "jd_text")), "id", ["pay_min", "pay_max"], "pay_currency", "jd_text")
     sums = units.read_amounts(spread(table(spark, sf_dir, "funding_items", "id", "amount_raw", "currency", "raw_text")), "id", "amount_raw", "currency", "raw_text")
-    both = pays.withColumn("tab", F.lit("jobs")).unionByName(sums.withColumn("tab", F.lit("funding_items")))
-    found = units.canonical(both, table(spark, sf_dir, "unit_factors", "kind", "unit_code", "factor"))
+    factors = table(spark, sf_dir, "unit_factors", "kind", "unit_code", "factor")
+    found = units.canonical(pays, factors, units.PAY_DIMS).withColumn("tab", F.lit("jobs"))
+    found = found.unionByName(units.canonical(sums, factors, units.SUM_DIMS).withColumn("tab", F.lit("funding_items")))
     return found.withColumn("usd", F.rint("canonical").cast("bigint")).where("usd is not null and row_id is not null").select("tab", "row_id", "field_name", "usd").distinct()
 
 

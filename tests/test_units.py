@@ -2,8 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quarrycast.operators import units
-from quarrycast.operators.units import Quantity, Unit, number, read_amount, read_pay, read_unit
+from quarrycast.operators.units import Quantity, number, read_amount, read_pay, read_unit
 from tests.conftest import rows
 
 
@@ -21,19 +23,80 @@ def test_unit_expressions(text, want):
     assert (q.currency, q.scale, q.period) == want
 
 
-def test_dimensions():
-    usd, month, year = Unit((("money", 1),)), Unit((("time", 1),), 1 / 12), Unit((("time", 1),))
-    assert (usd * month**-1).to(usd * year**-1, 100) == pytest.approx(1200)
-    celsius, kelvin = Unit((("temperature", 1),), 1, 273.15), Unit((("temperature", 1),))
-    assert celsius.to(kelvin, 20) == pytest.approx(293.15)
-    assert kelvin.to(celsius, 293.15) == pytest.approx(20)
-    with pytest.raises(ValueError):
-        usd.to(year, 1)
+def test_units_are_exponent_vectors(spark):
+    """Products add exponents, powers multiply them, conversion asks for equal dimensions and knows offsets."""
+    base = {"usd": ({"money": 1}, 1.0, 0.0), "inr": ({"money": 1}, 0.01, 0.0), "year": ({"time": 1}, 1.0, 0.0), "month": ({"time": 1}, 1 / 12, 0.0), "km": ({"length": 1}, 1000.0, 0.0), "hour": ({"time": 1}, 3600.0, 0.0), "celsius": ({"temperature": 1}, 1.0, 273.15), "fahrenheit": ({"temperature": 1}, 5 / 9, 459.67 * 5 / 9), "kelvin": ({"temperature": 1}, 1.0, 0.0)}
+    table = F.map_from_arrays(F.array(*map(F.lit, base)), F.array(*[units.base_unit(*x) for x in base.values()]))
+    cases = [
+        (100.0, [("inr", 1), ("month", -1)], [("usd", 1), ("year", -1)], 12.0),
+        (20.0, [("celsius", 1)], [("kelvin", 1)], 293.15),
+        (293.15, [("kelvin", 1)], [("celsius", 1)], 20.0),
+        (212.0, [("fahrenheit", 1)], [("celsius", 1)], 100.0),
+        (36.0, [("km", 1), ("hour", -1)], [("km", 1), ("hour", -1)], 36.0),
+        (9.0, [("km", 2)], [("km", 1), ("km", 1)], 9.0),
+        (5.0, [("usd", 1)], [("usd", 1), ("year", -1)], None),  # another dimension
+        (5.0, [("celsius", 1), ("usd", 1)], [("celsius", 1), ("usd", 1)], None),  # offsets make no products
+        (5.0, [("celsius", 2)], [("celsius", 2)], None),
+        (5.0, [("furlong", 1)], [("km", 1)], None),
+        (5.0, None, [("km", 1)], None),
+        (None, [("km", 1)], [("km", 1)], None),
+    ]
+    kind = "array<struct<code: string, exponent: int>>"
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"i int, v double, a {kind}, b {kind}, want double")
+    got = df.select("i", units.convert(F.col("v"), units.product(table, F.col("a")), units.product(table, F.col("b"))).alias("x"), "want").orderBy("i").collect()
+    assert [r.x for r in got] == [r.want if r.want is None else pytest.approx(r.want) for r in got]
     with pytest.raises(ValueError):
-        celsius * usd
+        units.vector({"luck": 1})
     assert Quantity([1], "USD", None, "month").dims == (("money", 1), ("time", -1))
 
 
+@pytest.mark.parametrize(
+    "text,value,unit",
+    [
+        ("250.000 EUR", 250_000, ("EUR", None, None)),
+        ("EUR 12.500", 12_500, ("EUR", None, None)),
+        ("0.125 EUR", 0.125, ("EUR", None, None)),
+        ("1.125 million USD", 1.125, ("USD", "million", None)),
+        ("1,250 Mio. \u20ac", 1.25, ("EUR", "million", None)),
+        ("1 250 000 EUR", 1_250_000, ("EUR", None, None)),
+        ("CHF 1'250'000", 1_250_000, ("CHF", None, None)),
+        ("1.2 lakh crore rupees", 1.2, ("INR", "lakh crore", None)),
+        ("one hundred twenty million dollars", 120, ("USD", "million", None)),
+        ("two and a half million dollars", 2.5, ("USD", "million", None)),
+        ("half a million euros", 0.5, ("EUR", "million", None)),
+        ("a million dollars", 1, ("USD", "million", None)),
+        ("one million two hundred thousand euros", 1_200_000, ("EUR", None, None)),
+        ("3 crore 50 lakh rupees", 35_000_000, ("INR", None, None)),
+        ("two hundred and fifty thousand pounds", 250, ("GBP", "thousand", None)),
+        ("12 JPY per day", 12, ("JPY", None, "day")),
+        ("1.234,56 \u20ac", 1234.56, ("EUR", None, None)),
+    ],
+)
+def test_composed_amounts(text, value, unit):
+    ((_, _, q),) = units.amounts(text)
+    assert (q.values, (q.currency, q.scale, q.period)) == ([value], unit)
+
+
+@pytest.mark.parametrize("text,values,scale", [("900 thousand to 1.2 million USD", [900, 1200], "thousand"), ("90k\u2013120k", [90, 120], "thousand"), ("between 90 and 120 thousand dollars", [90, 120], "thousand"), ("from 5 to 7 EUR", [5, 7], None)])
+def test_ranges(text, values, scale):
+    ((_, _, q),) = units.amounts(text)
+    assert (q.values, q.scale) == (values, scale)
+
+
+def test_numbers_of_other_things_give_no_scale():
+    q = read_amount("26", "EUR", "Weekly wrap: 26 startups raise funds, led by a \u20ac26 mn round")
+    assert (q.values[0], q.currency, q.scale) == (26, "EUR", "million")
+
+
+def test_dimension_decides(spark):
+    """A yearly sum is no sum, and an amount without period no pay; products of scales and unknown currencies."""
+    schema = "row_id long, field_name string, value double, currency string, scale string, period string"
+    q = spark.createDataFrame([(1, "x", 2.0, "USD", "thousand", "month"), (2, "x", 2.0, "USD", "thousand", None), (3, "x", 2.0, "USD", "thousand thousand", None), (4, "x", 2.0, "CHF", "one", None), (5, "x", 2.0, None, "one", None)], schema)
+    f = spark.createDataFrame(FACTORS, "kind string, unit_code string, factor double")
+    assert rows(units.canonical(q, f), "row_id", "canonical") == [(1, 24000.0), (2, None), (3, None), (4, None), (5, None)]
+    assert rows(units.canonical(q, f, units.SUM_DIMS), "row_id", "canonical") == [(1, None), (2, 2000.0), (3, 2e6), (4, None), (5, None)]
+
+
 @pytest.mark.parametrize(
     "recorded,unit,text,want",
     [
@@ -42,6 +105,9 @@ def test_dimensions():
         ([12.3, 17.5], None, "CTC 12.3 to 17.5 LPA (INR).", ("INR", "lakh", "year")),
         ([112, None], "USD", "Salary numbers above are in thousands.", ("USD", "thousand", None)),
         ([510, 590], "AUD", "The pay range is a daily rate.", ("AUD", None, "day")),
+        ([440, 630], "USD", "This contract is paid by the day, and the range reflects that.", ("USD", None, "day")),
+        ([89, 133], "SGD", "Pay for this position is quoted on an hourly basis.", ("SGD", None, "hour")),
+        ([2000, 3000], None, "Salary for all of the people who join us in the course of the coming year, which we fix together: 2000 to 3000 in euros, gross and before tax, monthly.", ("EUR", "one", "month")),
         ([90, 120], "GBP", "Benefits include a yearly learning budget of 15 hundred dollars.", ("GBP", None, None)),
         ([90, 120], None, "Our customers move 8 crore rupees a day through the product.", (None, None, None)),
         ([319, 232], None, "Annual salary: 232-319 thousand US dollars.", ("USD", "thousand", "year")),
