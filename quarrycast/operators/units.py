@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -99,27 +99,35 @@ def base_unit(dims: Dims, scale: Column | float, offset: Column | float = 0.0) -
     return F.struct(vector(dims).alias("dims"), as_column(scale).cast("double").alias("scale"), as_column(offset).cast("double").alias("offset"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, whose expression appears once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def product(units: Column, terms: Column) -> Column:
     """The unit that terms, array<struct<code, exponent>>, multiply to; units maps codes to base units.
 
     Null where a code is unknown, and where a unit with an offset is multiplied or raised to a power.
     """
-    known = F.transform(terms, lambda t: F.struct(units[t["code"]].alias("unit"), t["exponent"].alias("exponent")))
     none = F.struct(vector({}).alias("dims"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"))
 
     def times(acc: Column, x: Column) -> Column:
         dims = F.zip_with(acc["dims"], x["unit"]["dims"], lambda a, b: a + b * x["exponent"])
         return F.struct(dims.alias("dims"), (acc["scale"] * F.pow(x["unit"]["scale"], x["exponent"])).alias("scale"), (acc["offset"] + x["unit"]["offset"]).alias("offset"))
 
-    whole = F.forall(known, lambda x: x["unit"].isNotNull())
-    alone = (F.size(terms) == 1) & F.forall(terms, lambda t: t["exponent"] == 1)
-    plain = F.forall(known, lambda x: x["unit"]["offset"] == 0)
-    return F.when(whole & (alone | plain), F.aggregate(known, none, times))
+    def multiplied(known: Column) -> Column:
+        whole = F.forall(known, lambda x: x["unit"].isNotNull())
+        alone = (F.size(known) == 1) & F.forall(known, lambda x: x["exponent"] == 1)
+        plain = F.forall(known, lambda x: x["unit"]["offset"] == 0)
+        return F.when(whole & (alone | plain), F.aggregate(known, none, times))
+
+    of = lambda units: F.transform(terms, lambda t: F.struct(units[t["code"]].alias("unit"), t["exponent"].alias("exponent")))
+    return _let(units, lambda units: _let(of(units), multiplied))
 
 
 def convert(value: Column, unit: Column, target: Column) -> Column:
     """value of unit in target; null where the dimensions differ or a unit is null."""
-    return F.when(unit["dims"] == target["dims"], (value * unit["scale"] + unit["offset"] - target["offset"]) / target["scale"])
+    return _let(unit, lambda u: _let(target, lambda t: F.when(u["dims"] == t["dims"], (value * u["scale"] + u["offset"] - t["offset"]) / t["scale"])))
 
 
 # --- the grammar -----------------------------------------------------------------------------------------------
@@ -526,5 +534,6 @@ def canonical(quantities: DataFrame, factors: DataFrame, dims: Dims = PAY_DIMS)
     term = lambda kind, code, exponent: F.struct(F.concat(F.lit(f"{kind}:"), code).alias("code"), F.lit(exponent).alias("exponent"))
     scales = F.transform(F.split("scale", " "), lambda s: term("scale", s, 1))
     terms = F.concat(F.array(term("currency", F.col("currency"), 1)), scales, F.when(F.col("period").isNull(), F.expr("cast(array() as array<struct<code: string, exponent: int>>)")).otherwise(F.array(term("period", F.col("period"), -1))))
-    unit = quantities.withColumn("q__units", unit_table(factors)).withColumn("q__unit", F.when(F.col("currency").isNotNull(), product(F.col("q__units"), terms)))
-    return unit.select(*quantities.columns, convert(F.col("value"), F.col("q__unit"), base_unit(dims, 1.0)).alias("canonical"))
+    # a column of its own: a subquery can't stand in a higher-order function
+    unit = F.when(F.col("currency").isNotNull(), product(F.col("q__units"), terms))
+    return quantities.withColumn("q__units", unit_table(factors)).select(*quantities.columns, convert(F.col("value"), unit, base_unit(dims, 1.0)).alias("canonical"))
