@@ -1,27 +1,30 @@
 """Stateful rules as joins of a batch with a snapshot: upsert, insert-or-ignore, duplicate links, latest by key.
 
-A snapshot is a folder of parquet files that is never changed; publish() writes the next version and then
-moves a pointer file, so readers see whole versions and a lost job leaves the old one.
+A table of versions is a folder of parts, written once and never changed, and of manifests, one for each version,
+that list its parts. A version begins to exist when its manifest is renamed into place, which nothing undoes: readers
+see whole versions, and a job that is lost at any time leaves the last one.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrycast.functions.text import dedupe_key, empty_to_null
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def first_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The first row of each key by order, columns kept; aggregated before the shuffle, so hot keys are no task's load."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(order, *[c for c in rest if _orderable(df, c)])).alias("r")).select(*keys, "r.*").select(*df.columns)
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order, *[c for c in rest if _orderable(df, c)])).alias("r")).select(*keys, "r.*").select(*df.columns)
 
 
-def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key by order."""
+def last_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The last row of each key by order; of rows that tie in it the one with the greatest values. Nulls come first."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if _orderable(df, c)])).alias("r")).select(*keys, "r.*").select(*df.columns)
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if _orderable(df, c)])).alias("r")).select(*keys, "r.*").select(*df.columns)
 
 
 def _orderable(df: DataFrame, c: str) -> bool:
@@ -36,19 +39,20 @@ def insert_or_ignore(batch: DataFrame, state: DataFrame, keys: list[str], order:
     return first_per_key(some, keys, order).join(state.select(*keys).distinct(), keys, "left_anti")
 
 
-def upsert(state: DataFrame, batch: DataFrame, keys: list[str], now: str, kept_if_empty: list[str], url: str = "url", stamp: str = "seen_at", first_stamp: str = "first_seen_at", urls: str = "source_urls") -> DataFrame:
+def upsert(state: DataFrame, batch: DataFrame, keys: list[str], now: str, kept_if_empty: list[str], arrived: list[str], url: str = "url", stamp: str = "seen_at", first_stamp: str = "first_seen_at", urls: str = "source_urls") -> DataFrame:
     """state after batch, with outcome 'new', 'updated' or 'kept'.
 
-    state has the columns of batch, both stamps and the list of urls. A key in both takes the batch's values, but
-    keeps the first stamp, and keeps a column of kept_if_empty where the batch's is null or empty; the batch's
-    url joins the list unless it has it. Of rows of the batch with one key the last by the order of their values
-    counts. Rows of the batch with a null key come as new rows each. One full outer join on the key.
+    state has the columns of batch but those of arrived, both stamps and the list of urls. A key in both takes the
+    batch's values, but keeps the first stamp, and keeps a column of kept_if_empty where the batch's is null or
+    empty; the batch's url joins the list unless it has it. Of rows of the batch with one key the last to arrive, by
+    the columns of arrived, counts. Rows of the batch with a null key come as new rows each. One full outer join on
+    the key.
     """
-    values = [c for c in batch.columns if c not in keys]
+    values = [c for c in batch.columns if c not in keys and c not in arrived]
     null_key = F.lit(False)
     for k in keys:
         null_key |= F.col(k).isNull()
-    one = last_per_key(batch.where(~null_key), keys, values[0])
+    one = last_per_key(batch.where(~null_key), keys, *arrived).drop(*arrived)
     s, b = state.withColumn("in_s", F.lit(True)).alias("s"), one.withColumn("in_b", F.lit(True)).alias("b")
     on = F.lit(True)
     for k in keys:
@@ -148,9 +152,9 @@ def sync_members(companies: DataFrame, members: DataFrame, optional: list[str],
 
 
 def mark_polled(companies: DataFrame, outcomes: DataFrame, now: str) -> DataFrame:
-    """companies after polls: outcomes has company_id, status and validators etag, last_modified; success replaces the
-    validators, 304 and failure keep them. Of several polls of one company the one of the greatest status counts."""
-    o = outcomes.groupBy("company_id").agg(F.max(F.struct("status", "etag", "last_modified")).alias("o"))
+    """companies after polls: outcomes has company_id, at, status and validators etag, last_modified; success replaces
+    the validators, 304 and failure keep them. Of several polls of one company the latest counts."""
+    o = outcomes.groupBy("company_id").agg(F.max_by(F.struct("status", "etag", "last_modified"), F.struct("at", "status", "etag", "last_modified")).alias("o"))
     j = companies.join(o, companies["id"] == o["company_id"], "left").drop("company_id")
     ok = F.col("o.status").between(200, 299)
     keep = lambda c, new: F.when(ok, empty_to_null(F.col(f"o.{new}"))).otherwise(F.col(c)).alias(c)
@@ -158,7 +162,8 @@ def mark_polled(companies: DataFrame, outcomes: DataFrame, now: str) -> DataFram
     return j.select(*same, F.when(F.col("o").isNotNull(), F.lit(now)).otherwise(F.col("last_polled_at")).alias("last_polled_at"), keep("poll_etag", "etag"), keep("poll_last_modified", "last_modified"))
 
 
-# --- snapshots ------------------------------------------------------------------------------------------------
+# --- versions -------------------------------------------------------------------------------------------------
+MANIFESTS, PARTS = "_versions", "parts"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -167,34 +172,88 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _children(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def current_version(spark: SparkSession, table: str) -> int:
-    """The version that the pointer names; 0 if nothing was published."""
-    p, fs = _fs(spark, f"{table}/CURRENT")
-    if not fs.exists(p):
-        return 0
-    return int(spark.read.text(str(p.toString())).first()[0])
+    """The greatest version that was published; 0 if there is none."""
+    return max((int(x) for x in _children(spark, f"{table}/{MANIFESTS}") if x.isdigit()), default=0)
+
+
+def parts_of(spark: SparkSession, table: str, version: int) -> list[str]:
+    """The names of the parts that make up a version."""
+    if not version:
+        return []
+    p, fs = _fs(spark, f"{table}/{MANIFESTS}/{version:010d}")
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+    finally:
+        stream.close()
 
 
 def read_current(spark: SparkSession, table: str) -> DataFrame | None:
-    v = current_version(spark, table)
-    return spark.read.parquet(f"{table}/v={v}") if v else None
+    parts = parts_of(spark, table, current_version(spark, table))
+    return spark.read.parquet(*[f"{table}/{PARTS}/{x}" for x in parts]) if parts else None
+
+
+def _commit(spark: SparkSession, table: str, version: int, parts: list[str]) -> None:
+    """Make the version exist: its manifest is written aside and renamed to a name that nothing has yet."""
+    aside, fs = _fs(spark, f"{table}/{MANIFESTS}/.{version:010d}-{uuid.uuid4().hex}")
+    stream = fs.create(aside, True)
+    stream.write(bytearray("\n".join(parts).encode()))
+    stream.close()
+    to, _ = _fs(spark, f"{table}/{MANIFESTS}/{version:010d}")
+    if fs.exists(to) or not fs.rename(aside, to):
+        fs.delete(aside, False)
+        raise RuntimeError(f"version {version} of {table} was published by another run")
 
 
 def publish(df: DataFrame, table: str) -> int:
-    """Write df as the next version, then move the pointer; returns the version. One committer at a time."""
+    """Write df as the next version, which replaces all rows; returns the version. One committer at a time."""
     spark = df.sparkSession
-    v = current_version(spark, table) + 1
-    df.write.mode("overwrite").parquet(f"{table}/v={v}")
-    p, fs = _fs(spark, f"{table}/CURRENT")
-    temp, _ = _fs(spark, f"{table}/CURRENT.{v}")
-    stream = fs.create(temp, True)
-    stream.write(bytearray(str(v).encode()))
-    stream.close()
-    fs.delete(p, False)
-    fs.rename(temp, p)
+    v, part = current_version(spark, table) + 1, uuid.uuid4().hex
+    df.write.parquet(f"{table}/{PARTS}/{part}")
+    _commit(spark, table, v, [part])
     return v
 
 
+def append(df: DataFrame, table: str, part: str) -> int:
+    """Publish a version with the rows of df added as the part named; what is stored is neither read nor written again.
+
+    A part that the table has already is not added twice; one left by a lost run is replaced.
+    """
+    spark = df.sparkSession
+    v = current_version(spark, table)
+    parts = parts_of(spark, table, v)
+    if part in parts:
+        return v
+    df.write.mode("overwrite").parquet(f"{table}/{PARTS}/{part}")
+    _commit(spark, table, v + 1, [*parts, part])
+    return v + 1
+
+
+def vacuum(spark: SparkSession, table: str, keep: int = 2) -> list[str]:
+    """Remove all but the last versions, and the parts that none of those lists; returns the names of these parts.
+
+    Must not run beside a writer or a reader of older versions.
+    """
+    v = current_version(spark, table)
+    versions = [int(x) for x in _children(spark, f"{table}/{MANIFESTS}") if x.isdigit()]
+    kept = {x for n in versions if n > v - keep for x in parts_of(spark, table, n)}
+    for n in versions:
+        if n <= v - keep:
+            p, fs = _fs(spark, f"{table}/{MANIFESTS}/{n:010d}")
+            fs.delete(p, False)
+    gone = sorted(set(_children(spark, f"{table}/{PARTS}")) - kept)
+    for x in gone:
+        p, fs = _fs(spark, f"{table}/{PARTS}/{x}")
+        fs.delete(p, True)
+    return gone
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
     """df with the position of each row in its key's group; for small groups and top-k filters."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -16,41 +16,38 @@ q = Registry()
 
 # --- upserts and links --------------------------------------------------------------------------------------------
 VALUES = ["title", "jd_text", "location"]
-BATCH = """b AS (SELECT * EXCLUDE (n) FROM (SELECT source, external_id, title, jd_text, location, 'https://x.example/' || external_id AS url, row_number() OVER (PARTITION BY source, external_id ORDER BY title DESC NULLS LAST, jd_text DESC NULLS LAST, location DESC NULLS LAST) AS n
-  FROM job_snapshots WHERE snapshot_no = {n} AND external_id IS NOT NULL AND source IS NOT NULL) WHERE n = 1)"""
-
-
-def deliveries(spark, d, n):
-    s = table(spark, d, "job_snapshots", "snapshot_no", "source", "external_id", *VALUES).where((F.col("snapshot_no") == n) & F.col("external_id").isNotNull() & F.col("source").isNotNull())
-    return s.select("source", "external_id", *VALUES, F.concat(F.lit("https://x.example/"), "external_id").alias("url"))
-
-
-def stored(spark, d):
-    """Delivery 1 as the stored state."""
-    first = state.last_per_key(deliveries(spark, d, 1), ["source", "external_id"], "title")
-    old = F.lit("2026-03-01T00:00:00+00:00")
-    return first.withColumn("seen_at", old).withColumn("first_seen_at", old).withColumn("source_urls", F.array(F.concat(F.lit("https://old.example/"), "external_id")))
-
-
-@q(
-    "D1_upsert",
-    f"""WITH {BATCH.format(n=1).replace('b AS', 's AS', 1)}, {BATCH.format(n=2)}
-SELECT coalesce(b.source, s.source) AS source, coalesce(b.external_id, s.external_id) AS external_id, CASE WHEN b.external_id IS NOT NULL THEN b.title ELSE s.title END AS title,
-  coalesce(nullif(b.jd_text, ''), s.jd_text) AS jd_text, CASE WHEN b.external_id IS NOT NULL THEN b.location ELSE s.location END AS location,
-  CASE WHEN b.external_id IS NOT NULL THEN '{NOW_ISO}' ELSE '2026-03-01T00:00:00+00:00' END AS seen_at, CASE WHEN s.external_id IS NULL THEN '{NOW_ISO}' ELSE '2026-03-01T00:00:00+00:00' END AS first_seen_at,
-  concat_ws(' ', CASE WHEN s.external_id IS NOT NULL THEN 'https://old.example/' || s.external_id END, b.url) AS urls,
-  CASE WHEN s.external_id IS NULL THEN 'new' WHEN b.external_id IS NULL THEN 'kept' ELSE 'updated' END AS outcome
-FROM s FULL JOIN b ON s.source = b.source AND s.external_id = b.external_id""",
-)
+DELIVERIES = range(1, 6)  #: fixed by the table
+STAMP = "2026-03-0{n}T00:00:00+00:00"  #: when delivery n was taken
+#: each delivery's last row of a key to arrive
+BATCH = """b AS (SELECT * EXCLUDE (r) FROM (SELECT source, external_id, snapshot_no AS n, title, jd_text, location, 'https://x.example/' || snapshot_no || '/' || external_id AS url,
+  row_number() OVER (PARTITION BY source, external_id, snapshot_no ORDER BY loaded_at DESC NULLS LAST, title DESC NULLS LAST, jd_text DESC NULLS LAST, location DESC NULLS LAST) AS r
+  FROM job_snapshots WHERE external_id IS NOT NULL AND source IS NOT NULL) WHERE r = 1)"""
+UPSERTED = f"""{BATCH}, k AS (SELECT source, external_id, min(n) AS first, max(n) AS last, string_agg(url, ' ' ORDER BY n) AS urls,
+  arg_max(jd_text, n) FILTER (jd_text <> '') AS jd_text FROM b GROUP BY ALL),
+u AS (SELECT k.source, k.external_id, b.title, coalesce(k.jd_text, nullif(b.jd_text, '')) AS jd_text, b.location, '2026-03-0' || last || 'T00:00:00+00:00' AS seen_at, '2026-03-0' || first || 'T00:00:00+00:00' AS first_seen_at, urls,
+  CASE WHEN first = 5 THEN 'new' WHEN last = 5 THEN 'updated' ELSE 'kept' END AS outcome FROM k JOIN b ON b.source = k.source AND b.external_id = k.external_id AND b.n = k.last)"""
+
+
+def upserted(spark, d):
+    """The state after all deliveries, taken one after the other, with the outcomes of the last."""
+    rows = table(spark, d, "job_snapshots", "snapshot_no", "source", "external_id", "loaded_at", *VALUES).where("external_id is not null and source is not null")
+    url = F.concat_ws("/", F.lit("https://x.example"), F.col("snapshot_no").cast("string"), "external_id")
+    rows = rows.select("snapshot_no", "source", "external_id", *VALUES, url.alias("url"), "loaded_at")
+    out = rows.where("false").drop("snapshot_no", "loaded_at").select("*", F.lit("").alias("seen_at"), F.lit("").alias("first_seen_at"), F.array(F.lit("")).alias("source_urls"))
+    for n in DELIVERIES:
+        out = state.upsert(out.drop("outcome"), rows.where(F.col("snapshot_no") == n).drop("snapshot_no"), ["source", "external_id"], STAMP.format(n=n), ["jd_text"], ["loaded_at"])
+    return out
+
+
+@q("D1_upsert", f"WITH {UPSERTED} SELECT * FROM u")
 def _d1(spark, d):
-    out = state.upsert(stored(spark, d), deliveries(spark, d, 2), ["source", "external_id"], NOW_ISO, ["jd_text"])
-    return out.select("source", "external_id", *VALUES, "seen_at", "first_seen_at", F.array_join("source_urls", " ").alias("urls"), "outcome")
+    return upserted(spark, d).select("source", "external_id", "title", F.expr("nullif(jd_text, '')").alias("jd_text"), "location", "seen_at", "first_seen_at", F.array_join("source_urls", " ").alias("urls"), "outcome")
 
 
-@q("A6_tallies", f"WITH {BATCH.format(n=1).replace('b AS', 's AS', 1)}, {BATCH.format(n=2)} SELECT count(*) FILTER (s.external_id IS NULL) AS new, count(*) FILTER (s.external_id IS NOT NULL AND b.external_id IS NOT NULL) AS updated, count(*) FILTER (b.external_id IS NULL) AS kept FROM s FULL JOIN b ON s.source = b.source AND s.external_id = b.external_id")
+@q("A6_tallies", f"WITH {UPSERTED} SELECT count(*) FILTER (outcome = 'new') AS new, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'kept') AS kept FROM u")
 def _a6(spark, d):
     o = F.col("outcome")
-    return _d1(spark, d).agg(*[F.count_if(o == x).alias(x) for x in ("new", "updated", "kept")])
+    return upserted(spark, d).agg(*[F.count_if(o == x).alias(x) for x in ("new", "updated", "kept")])
 
 
 @q("D2_J18_canonical", f"WITH {CANON} SELECT id, canonical_id FROM canon")
@@ -87,7 +84,7 @@ def _d5(spark, d):
     return state.last_per_key(p, ["board", "id"], "fetched_at").select("board", "id", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"))
 
 
-MEMBERS = "m AS (SELECT upper(name) AS name, NULL::VARCHAR AS domain, 'lever' AS ats, CASE WHEN id % 2 = 0 THEN slug END AS slug FROM companies WHERE id % 3 = 0 UNION ALL SELECT s_name, 's' || s_suppkey || '.example', 'ashby', 's' || s_suppkey FROM supplier)"
+MEMBERS = "m AS (SELECT upper(name) AS name, NULL::VARCHAR AS domain, 'lever' AS ats, CASE WHEN id % 2 = 0 THEN slug END AS slug FROM companies WHERE watchlist_enabled = 1 UNION ALL SELECT s_name, 's' || s_suppkey || '.example', 'ashby', 's' || s_suppkey FROM supplier)"
 
 
 @q(
@@ -96,12 +93,12 @@ MEMBERS = "m AS (SELECT upper(name) AS name, NULL::VARCHAR AS domain, 'lever' AS
   CASE WHEN c.name IS NULL THEN 'added' WHEN m.name IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM companies c FULL JOIN m ON lower(c.name) = lower(m.name)""",
 )
 def _d6(spark, d):
-    c = table(spark, d, "companies", "id", "name", "domain", "ats", "slug", "last_polled_at")
+    c = table(spark, d, "companies", "id", "name", "domain", "ats", "slug", "last_polled_at", "watchlist_enabled")
     s = table(spark, d, "supplier", "s_suppkey", "s_name")
     key = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
-    m = c.where("id % 3 = 0").select(F.upper("name").alias("name"), F.lit(None).cast("string").alias("domain"), F.lit("lever").alias("ats"), F.when(F.col("id") % 2 == 0, F.col("slug")).alias("slug"))
+    m = c.where("watchlist_enabled = 1").select(F.upper("name").alias("name"), F.lit(None).cast("string").alias("domain"), F.lit("lever").alias("ats"), F.when(F.col("id") % 2 == 0, F.col("slug")).alias("slug"))
     m = m.unionByName(s.select(F.col("s_name").alias("name"), F.concat(key, F.lit(".example")).alias("domain"), F.lit("ashby").alias("ats"), key.alias("slug")))
-    return state.sync_members(c.drop("id"), m, ["domain"], ["ats", "slug"])
+    return state.sync_members(c.drop("id", "watchlist_enabled"), m, ["domain"], ["ats", "slug"])
 
 
 LOOKUP = "bd AS (SELECT lower(trim(domain)) AS k, min(id) AS id FROM companies WHERE domain IS NOT NULL GROUP BY 1), bn AS (SELECT lower(name) AS k, min(id) AS id FROM companies WHERE name IS NOT NULL GROUP BY 1)"
@@ -147,10 +144,18 @@ def _d14(spark, d):
     return table(spark, d, "funding_items", "id", "announced_at").select("id", F.date_format(F.date_add(F.substring("announced_at", 1, 10).try_cast("date"), 60), "yyyy-MM-dd").alias("until"))
 
 
-@q("D17_mark_polled", f"SELECT id, CASE WHEN id % 2 = 0 THEN '{NOW_ISO}' ELSE last_polled_at END AS last_polled_at, CASE WHEN id % 6 = 0 THEN 'new' ELSE 'old' END AS poll_etag FROM companies")
+@q(
+    "D17_mark_polled",
+    f"""WITH e AS (SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT id, CASE WHEN user_id IS NOT NULL THEN '{NOW_ISO}' ELSE last_polled_at END AS last_polled_at, CASE WHEN event_type NOT IN ('error', 'signup') THEN 'v' || event_id ELSE 'old' END AS poll_etag
+FROM companies LEFT JOIN e ON user_id = id""",
+)
 def _d17(spark, d):
+    """Events as polls of the company with their user's number: the latest of each counts."""
     c = table(spark, d, "companies").withColumn("poll_etag", F.lit("old")).withColumn("poll_last_modified", F.lit(None).cast("string"))
-    o = c.where("id % 2 = 0").select(F.col("id").alias("company_id"), F.when(F.col("id") % 3 == 0, 200).when(F.col("id") % 3 == 1, 304).otherwise(500).alias("status"), F.lit("new").alias("etag"), F.lit("x").alias("last_modified"))
+    e, t = table(spark, d, "events", "user_id", "event_id", "event_type", "ts"), F.col("event_type")
+    status = F.when(t == "error", 500).when(t == "signup", 304).otherwise(200)
+    o = e.select(F.col("user_id").alias("company_id"), F.struct("ts", "event_id").alias("at"), status.alias("status"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("etag"), F.lit("x").alias("last_modified"))
     return state.mark_polled(c, o, NOW_ISO).select("id", "last_polled_at", "poll_etag")
 
 
@@ -215,10 +220,12 @@ def _j14(spark, d):
     return m.groupBy("thread_id").agg(F.min_by("gmail_id", F.struct("received_at", "gmail_id")).alias("gmail_id"))
 
 
-@q("J16_unnotified", "SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 10 = 0 AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE event_id % 11 = 1)")
+@q("J16_unnotified", "SELECT DISTINCT user_id, CAST(ts AS DATE)::VARCHAR AS day FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events n WHERE n.event_type = 'signup' AND n.user_id = e.user_id AND CAST(n.ts AS DATE) = CAST(e.ts AS DATE))")
 def _j16(spark, d):
-    e = table(spark, d, "events", "event_id", "user_id", "event_type")
-    return e.where("event_id % 10 = 0").select("user_id", "event_type").distinct().join(e.where("event_id % 11 = 1").select("user_id", "event_type").distinct(), ["user_id", "event_type"], "left_anti")
+    """Errors of a day that no notice of the same day and user answers; sign-ups stand for notices."""
+    e = table(spark, d, "events", "ts", "user_id", "event_type").select("event_type", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    of = lambda kind: e.where(F.col("event_type") == kind).select("user_id", "day").distinct()
+    return of("error").join(of("signup"), ["user_id", "day"], "left_anti")
 
 
 # --- feed health ------------------------------------------------------------------------------------------------------

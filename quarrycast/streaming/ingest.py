@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,19 +24,22 @@ def read_table(spark: SparkSession, path: str, files_per_trigger: int | None = N
 
 
 def insert_new(stream: DataFrame, table: str, keys: list[str], order: str, checkpoint: str):
-    """Start a run that appends rows with new keys to a snapshot table and ends when the input is read.
+    """Start a run that appends rows with new keys to a table of versions and ends when the input is read.
 
-    Every batch is anti-joined with the published version and published as the next one, under the batch's number:
-    a batch that is replayed after a failure finds its keys there and adds nothing.
+    Every batch is anti-joined with the keys of the published version; its new rows become a part of their own, named
+    by the run's checkpoint and the batch's number, and no stored row is written again. A batch that is replayed after
+    a failure finds its part in the table and adds nothing, or replaces the part that it left unpublished.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        part = f"{run}-{number:010d}"
+        if part in state.parts_of(spark, table, state.current_version(spark, table)):
+            return
         old = state.read_current(spark, table)
-        if old is None:
-            old = batch.where("false")
-        new = state.insert_or_ignore(batch, old, keys, order)
-        state.publish(old.unionByName(new), table)
+        old = batch.where("false") if old is None else old
+        state.append(state.insert_or_ignore(batch, old, keys, order), table, part)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

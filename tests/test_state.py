@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrycast.operators import health, listing, state
+from quarrycast.streaming import ingest
 from tests.conftest import rows
 
 
@@ -25,19 +27,20 @@ def test_link_new_is_the_row_by_row_rule(spark):
 
 
 BATCH = "source string, external_id string, title string, jd_text string, url string"
+ARRIVING = BATCH + ", loaded_at int"
 
 
 def test_upsert(spark):
-    batch = spark.createDataFrame([("g", "1", "A", "text", "u1"), ("g", "1", "A", "text", "u1"), ("g", "2", "B", None, ""), ("g", None, "C", "t", "u3")], BATCH)
+    batch = spark.createDataFrame([("g", "1", "Z", "early", "u0", 1), ("g", "1", "A", "text", "u1", 2), ("g", "1", "A", "text", "u1", 2), ("g", "1", "Y", "unknown", "u7", None), ("g", "2", "B", None, "", 1), ("g", None, "C", "t", "u3", 1)], ARRIVING)
     empty = spark.createDataFrame([], BATCH + ", seen_at string, first_seen_at string, source_urls array<string>")
-    one = state.upsert(empty, batch, ["source", "external_id"], "t1", ["jd_text"])
+    one = state.upsert(empty, batch, ["source", "external_id"], "t1", ["jd_text"], ["loaded_at"])
     assert rows(one.groupBy("outcome").count()) == [("new", 3)]
     keyed = one.where("external_id is not null").drop("outcome")
-    again = spark.createDataFrame([("g", "1", "A2", "", "u9")], BATCH)
-    two = state.upsert(keyed, again, ["source", "external_id"], "t2", ["jd_text"])
+    again = spark.createDataFrame([("g", "1", "A2", "", "u9", 1)], ARRIVING)
+    two = state.upsert(keyed, again, ["source", "external_id"], "t2", ["jd_text"], ["loaded_at"])
     r = two.where("external_id = '1'").first()
     assert (r.title, r.jd_text, r.seen_at, r.first_seen_at, r.source_urls, r.outcome) == ("A2", "text", "t2", "t1", ["u1", "u9"], "updated")
-    assert rows(state.upsert(two.drop("outcome"), again, ["source", "external_id"], "t2", ["jd_text"]), "external_id", "title") == rows(two, "external_id", "title")
+    assert rows(state.upsert(two.drop("outcome"), again, ["source", "external_id"], "t2", ["jd_text"], ["loaded_at"]), "external_id", "title") == rows(two, "external_id", "title")
 
 
 def test_insert_or_ignore(spark):
@@ -47,12 +50,93 @@ def test_insert_or_ignore(spark):
     assert state.insert_or_ignore(batch.where("false"), old, ["url"], "item_id").count() == 0
 
 
+def test_latest_poll_counts(spark):
+    """A later success beats an earlier failure and the other way round; ties go to the greater status."""
+    c = spark.createDataFrame([(i, "never", "old", None) for i in range(1, 5)], "id long, last_polled_at string, poll_etag string, poll_last_modified string")
+    o = spark.createDataFrame([(1, 1, 500, None, None), (1, 2, 200, "new", "m"), (2, 1, 200, "new", "m"), (2, 2, 500, None, None), (3, 2, 304, "x", None), (None, 1, 200, "n", None)], "company_id long, at int, status int, etag string, last_modified string")
+    assert rows(state.mark_polled(c, o, "now"), "id", "last_polled_at", "poll_etag", "poll_last_modified") == [(1, "now", "new", "m"), (2, "now", "old", None), (3, "now", "old", None), (4, "never", "old", None)]
+
+
 def test_versions(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "x int")
     where = str(tmp_path / "t")
-    assert state.read_current(spark, where) is None
+    assert state.read_current(spark, where) is None and state.current_version(spark, where) == 0
     assert [state.publish(df, where), state.publish(df.union(df), where)] == [1, 2]
     assert state.read_current(spark, where).count() == 2
+    assert state.append(df, where, "more") == 3 and state.read_current(spark, where).count() == 3
+    assert state.append(df, where, "more") == 3 and state.read_current(spark, where).count() == 3
+
+
+@pytest.mark.parametrize("step", ["write", "create", "rename"])
+def test_a_lost_commit_leaves_the_last_version(spark, tmp_path, monkeypatch, step):
+    """A run that dies while it writes the part, before the manifest, or before its rename changes nothing, and the next succeeds."""
+    where, df = str(tmp_path / "t"), spark.createDataFrame([(1,)], "x int")
+    state.publish(df, where)
+    commit, fs = state._commit, state._fs
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    if step == "rename":
+
+        class Dying:
+            def __init__(self, real):
+                self.real = real
+
+            def __getattr__(self, name):
+                return die if name == "rename" else getattr(self.real, name)
+
+        monkeypatch.setattr(state, "_fs", lambda s, p: (fs(s, p)[0], Dying(fs(s, p)[1])))
+    elif step == "create":
+        monkeypatch.setattr(state, "_commit", die)
+    for lost in (lambda: state.publish(df.union(df), where), lambda: state.append(df, where, "p")):
+        if step == "write":
+            (tmp_path / "t" / "parts" / "p").mkdir(exist_ok=True)  # what a lost job leaves of a part
+        else:
+            with pytest.raises(KeyboardInterrupt):
+                lost()
+    monkeypatch.setattr(state, "_commit", commit)
+    monkeypatch.setattr(state, "_fs", fs)
+    assert state.current_version(spark, where) == 1 and state.read_current(spark, where).count() == 1
+    assert state.append(df, where, "p") == 2 and state.read_current(spark, where).count() == 2
+
+
+def test_a_version_is_published_once(spark, tmp_path):
+    where, df = str(tmp_path / "t"), spark.createDataFrame([(1,)], "x int")
+    state.publish(df, where)
+    with pytest.raises(RuntimeError):
+        state._commit(spark, where, 1, ["other"])
+    assert state.read_current(spark, where).count() == 1
+
+
+def test_vacuum(spark, tmp_path):
+    where, df = str(tmp_path / "t"), spark.createDataFrame([(1,)], "x int")
+    state.publish(df, where)
+    state.publish(df, where)
+    state.append(df, where, "p")
+    assert len(state.vacuum(spark, where, keep=1)) == 1
+    assert state.vacuum(spark, where, keep=1) == [] and state.read_current(spark, where).count() == 2 and state.append(df, where, "p") == 3
+
+
+def test_insert_stream_appends_and_replays(spark, tmp_path):
+    """Batches add only new keys, write no stored row again, and a batch that runs twice adds nothing."""
+    source, where = tmp_path / "in", str(tmp_path / "t")
+    batches = [[("a", 2), ("a", 1), ("b", 5)], [("b", 1), ("c", 9), (None, 3)], [("c", 1)]]
+    run = lambda: ingest.insert_new(ingest.read_table(spark, str(source), files_per_trigger=1), where, ["url"], "item_id", str(tmp_path / "checkpoint")).awaitTermination()
+    size = []
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, "url string, item_id long").coalesce(1).write.mode("append").parquet(str(source))
+        before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+        run()
+        assert all(p.stat().st_mtime_ns == t for p, t in before.items()), "a stored file was written again"
+        size.append(rows(state.read_current(spark, where), "url", "item_id"))
+    assert size == [[("a", 1), ("b", 5)], [("a", 1), ("b", 5), ("c", 9)], [("a", 1), ("b", 5), ("c", 9)]]
+    last = max((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # the last batch was published, but its end was never recorded
+    (last.parent / f".{last.name}.crc").unlink()
+    version = state.current_version(spark, where)
+    run()
+    assert state.current_version(spark, where) == version and rows(state.read_current(spark, where), "url", "item_id") == size[-1]
 
 
 def test_rank_is_row_number(spark):
