@@ -1,7 +1,9 @@
 """Changes between full deliveries of a table.
 
-All deliveries are tagged by their number, grouped by key in one shuffle with map-side combine, and each key
-is classified from the per-delivery hashes of its values. Nothing but one row per key crosses the shuffle.
+All deliveries are united, tagged by their number. One aggregation by key and number leaves a row of hashes for each
+side that a key has, combined before the shuffle, so repeated rows and hot keys cost nothing; the sides of a key, at
+most as many as there are deliveries, are then put in order and classified in the JVM. No text crosses a shuffle,
+and the plan is the same for five deliveries and for five hundred.
 """
 
 from __future__ import annotations
@@ -13,10 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quarrycast.runtime import ship
+
 #: Fixed value: white space of any kind, zero-width spaces included.
 SPACE = r"(?U)[\s\x{200B}\x{2060}\x{FEFF}]+"
 #: Text that no composition can change: all characters below U+0300, and general punctuation.
-COMPOSED = r"^[\x{0000}-\x{02FF}\x{2010}-\x{2027}\x{2030}-\x{205E}]*$"
+COMPOSED = r"^[\x{0000}-\x{02FF}\x{2010}-\x{2027}\x{2030}-\x{205E}]*\z"
+#: The same, without white space.
+DONE = r"^[\x{0000}-\x{0008}\x{000E}-\x{001F}!-\x{0084}\x{0086}-\x{009F}\x{00A1}-\x{02FF}\x{2010}-\x{2027}\x{2030}-\x{205E}]*\z"
 
 
 @F.pandas_udf(StringType())
@@ -24,14 +30,20 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def bare(text: Column) -> Column:
-    """text without any white space and with composed characters; null where nothing is left.
+def with_bare(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """df with each text as a column of its name, without any white space and with composed characters; null where
+    nothing is left.
 
-    Only texts with characters that composition may change leave the JVM.
+    Blanks and line feeds are cut out byte by byte; only what has other white space then, or characters that
+    composition may change, is held against patterns, and only the latter leaves the JVM. Each step is a column of
+    its own, so that none is computed twice.
     """
-    text = F.regexp_replace(text.cast("string"), SPACE, "")
-    loose = _nfc(F.when(~text.rlike(COMPOSED), text))
-    return F.nullif(F.coalesce(loose, text), F.lit(""))
+    cut = {n: F.replace(F.replace(t.cast("string"), F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")) for n, t in texts.items()}
+    plain = {n: F.when(F.col(n).rlike(DONE), F.col(n)).otherwise(F.regexp_replace(n, SPACE, "")) for n in texts}
+    loose = {f"{n}__loose": F.when(~F.col(n).rlike(COMPOSED), F.col(n)) for n in texts}
+    composed = {f"{n}__loose": _nfc(f"{n}__loose") for n in texts}
+    whole = {n: F.nullif(F.coalesce(f"{n}__loose", n), F.lit("")) for n in texts}
+    return df.withColumns(cut).withColumns(plain).withColumns(loose).withColumns(composed).withColumns(whole).drop(*loose)
 
 
 def stripped(text: Column) -> Column:
@@ -39,51 +51,52 @@ def stripped(text: Column) -> Column:
     return F.nullif(F.regexp_replace(text.cast("string"), rf"^{SPACE}|{SPACE}$", ""), F.lit(""))
 
 
-def changes(df: DataFrame, deliveries: list[int], number: str, group: list[str], key: str, compared: list[str], kept: list[str], delivered: str | None = None) -> DataFrame:
+def changes(df: DataFrame, number: str, group: list[str], key: str, compared: list[str], kept: list[str], delivered: str | None = None, arrived: str | None = None) -> DataFrame:
     """(group..., key, number, change_kind) of each key that was added, removed or changed.
 
-    df has one row per record of a delivery; deliveries are all numbers in order. group columns name the
-    partial table (such as a board) whose consecutive deliveries are compared; a row whose `delivered` is 0
-    says that its group had no such delivery, which is skipped then. A column of `compared` differs if its
-    text without white space, in composed form, does; one that is also in `kept` stands for the last
-    delivered value where it is null or blank. The first delivery of a group gives no rows.
-    Repeated rows of a key count once; where they differ, the greatest hash stands for all. Rows without key
-    or number count for nothing, a null in a group column is a value of its own.
+    df has one row per record of a delivery; all numbers of df are deliveries. group columns name the partial table
+    (such as a board) whose consecutive deliveries are compared; a row whose `delivered` is 0 says that its group had
+    no such delivery, which is skipped then. A column of `compared` differs if its text without white space, in
+    composed form, does; one that is also in `kept` stands for the last delivered value where it is null or blank.
+    The first delivery of a group gives no rows. Of repeated rows of a key in one delivery the last by `arrived`
+    counts, of those that tie in it the one with the greatest hash; for a column of kept the last that isn't blank.
+    Rows without key or number count for nothing, a null in a group column is a value of its own.
     """
-    if not deliveries:
-        return df.select(*group, key, number, F.lit("").alias("change_kind")).where("false")
-    numbers = F.col(number)
-    rows = df.where(numbers.isNotNull())
+    ship(df.sparkSession)
+    rows = df.where(F.col(number).isNotNull()).withColumn("q__n", F.col(number).cast("int"))
     ok = F.coalesce(F.col(delivered), F.lit(1)) != 0 if delivered else F.lit(True)
-    tagged = rows.where(ok).select(*group, stripped(F.col(key)).alias(key), numbers.alias("n"), *[F.xxhash64(v).alias(f"h{i}") if c not in kept else F.when(v.isNotNull(), F.xxhash64(v)).alias(f"h{i}") for i, (c, v) in enumerate((c, bare(F.col(c))) for c in compared)])
+    at = F.col(arrived) if arrived else F.lit(0)
     hashes = [f"h{i}" for i in range(len(compared))]
-    sides = [x for s in deliveries for x in (F.max(F.when(F.col("n") == s, True)).alias(f"in_{s}"), *[F.max(F.when(F.col("n") == s, F.col(h))).alias(f"{h}_{s}") for h in hashes])]
-    records = tagged.where(F.col(key).isNotNull()).groupBy(*group, key).agg(*sides)
+    tagged = rows.where(ok).select(*group, stripped(F.col(key)).alias("q__key"), "q__n", at.alias("q__at"), *[F.col(c).alias(f"q__{h}") for c, h in zip(compared, hashes)])
+    tagged = with_bare(tagged.where("q__key is not null"), {f"q__{h}": F.col(f"q__{h}") for h in hashes})
+    tagged = tagged.select(*group, F.col("q__key").alias(key), "q__n", "q__at", *[F.when(F.col(f"q__{h}").isNotNull(), F.xxhash64(f"q__{h}")).alias(h) for h in hashes])
+    last = lambda c, h: F.max(F.when(F.col(h).isNotNull(), F.struct("q__at", h)) if c in kept else F.struct("q__at", h))[h].alias(h)
+    sides = tagged.groupBy(*group, key, "q__n").agg(*[last(c, h) for c, h in zip(compared, hashes)])
+    records = sides.groupBy(*group, key).agg(F.map_from_entries(F.collect_list(F.struct("q__n", F.struct(*hashes)))).alias("q__sides"))
     if delivered:
-        missing = rows.where(~ok).groupBy(*[F.col(g).alias(f"m_{g}") for g in group]).agg(F.collect_set(numbers).alias("missing"))
+        missing = rows.where(~ok).groupBy(*[F.col(g).alias(f"m_{g}") for g in group]).agg(F.collect_set("q__n").alias("q__missing"))
         on = F.lit(True)
         for g in group:
             on &= F.col(g).eqNullSafe(F.col(f"m_{g}"))
         records = records.join(missing, on, "left")
     else:
-        records = records.withColumn("missing", F.lit(None).cast("array<int>"))
-    side = lambda s: F.struct(F.lit(s).cast("int").alias("n"), F.coalesce(f"in_{s}", F.lit(False)).alias("p"), *[F.col(f"{h}_{s}").alias(h) for h in hashes])
+        records = records.withColumn("q__missing", F.lit(None).cast("array<int>"))
+    none = F.expr("cast(array() as array<int>)")
+    deliveries = rows.agg(F.sort_array(F.collect_set("q__n")).alias("n")).scalar()
+    # columns of their own, since a subquery can't stand in a higher-order function
+    records = records.withColumn("q__all", deliveries).withColumn("q__taken", F.array_except("q__all", F.coalesce("q__missing", none)))
     nothing = F.struct(F.lit(False).alias("begun"), F.lit(False).alias("p"), *[F.lit(None).cast("bigint").alias(h) for h in hashes], F.expr("cast(array() as array<struct<n: int, kind: string>>)").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        now = {h: F.coalesce(x[h], s[h]) if c in kept else F.when(x["p"], x[h]).otherwise(s[h]) for h, c in zip(hashes, compared)}
+    def step(s: Column, n: Column) -> Column:
+        x = F.try_element_at(F.col("q__sides"), n)
+        p = x.isNotNull()
+        now = {h: F.coalesce(x[h], s[h]) if c in kept else F.when(p, x[h]).otherwise(s[h]) for h, c in zip(hashes, compared)}
         differs = F.lit(False)
         for h in hashes:
             differs |= ~now[h].eqNullSafe(s[h])
-        kind = F.when(x["p"] & ~s["p"], "added").when(~x["p"] & s["p"], "removed").when(x["p"] & s["p"] & differs, "changed")
-        out = F.when(s["begun"] & kind.isNotNull(), F.concat(s["out"], F.array(F.struct(x["n"].alias("n"), kind.alias("kind"))))).otherwise(s["out"])
-        new = F.struct(F.lit(True).alias("begun"), x["p"].alias("p"), *[now[h].alias(h) for h in hashes], out.alias("out"))
-        return F.when(F.array_contains(F.coalesce("missing", F.expr("cast(array() as array<int>)")), x["n"]), s).otherwise(new)
-
-    cases = records.select(*group, key, F.explode(F.aggregate(F.array(*[side(s) for s in deliveries]), nothing, step, lambda s: s["out"])).alias("c"))
-    return cases.select(*group, key, F.col("c.n").alias(number), F.col("c.kind").alias("change_kind"))
-
+        kind = F.when(p & ~s["p"], "added").when(~p & s["p"], "removed").when(p & s["p"] & differs, "changed")
+        out = F.when(s["begun"] & kind.isNotNull(), F.concat(s["out"], F.array(F.struct(n.alias("n"), kind.alias("kind"))))).otherwise(s["out"])
+        return F.struct(F.lit(True).alias("begun"), p.alias("p"), *[now[h].alias(h) for h in hashes], out.alias("out"))
 
-def numbers_of(df: DataFrame, number: str) -> list[int]:
-    """The numbers of all deliveries, in order; as many as there were deliveries."""
-    return sorted(r[0] for r in df.select(number).where(F.col(number).isNotNull()).distinct().collect())
+    cases = records.select(*group, key, F.explode(F.aggregate("q__taken", nothing, step, lambda s: s["out"])).alias("c"))
+    return cases.select(*group, key, F.col("c.n").cast(df.schema[number].dataType).alias(number), F.col("c.kind").alias("change_kind"))

@@ -18,9 +18,8 @@ def p1_found(spark, sf_dir):
 
 
 def p2_found(spark, sf_dir):
-    rows = table(spark, sf_dir, "job_snapshots", "snapshot_no", "source", "board", "poll_ok", "external_id", "title", "jd_text")
-    numbers = snapshots.numbers_of(rows, "snapshot_no")
-    found = snapshots.changes(spread(rows), numbers, "snapshot_no", ["source", "board"], "external_id", ["title", "jd_text"], ["jd_text"], "poll_ok")
+    rows = table(spark, sf_dir, "job_snapshots", "snapshot_no", "source", "board", "poll_ok", "external_id", "title", "jd_text", "loaded_at")
+    found = snapshots.changes(spread(rows), "snapshot_no", ["source", "board"], "external_id", ["title", "jd_text"], ["jd_text"], "poll_ok", "loaded_at")
     return found.select("source", "external_id", "snapshot_no", "change_kind").distinct()
 
 
@@ -38,9 +37,10 @@ QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p2_found": p2_found}
 SQL = {
     "p2_found": r"""
 WITH s AS (SELECT *, regexp_replace(external_id, '^[\s\pZ\x0b]+|[\s\pZ\x0b]+$', '', 'g') AS e FROM job_snapshots WHERE snapshot_no IS NOT NULL),
-     r AS (SELECT source, board, e, snapshot_no, max(nfc_normalize(regexp_replace(title, '[\s\pZ\x0b]+', '', 'g'))) AS t,
-                  max(nullif(nfc_normalize(regexp_replace(jd_text, '[\s\pZ\x0b]+', '', 'g')), '')) AS j
-           FROM s WHERE coalesce(poll_ok, 1) <> 0 AND e <> '' GROUP BY ALL),
+     w AS (SELECT source, board, e, snapshot_no, loaded_at, nullif(nfc_normalize(regexp_replace(title, '[\s\pZ\x0b]+', '', 'g')), '') AS t,
+                  nullif(nfc_normalize(regexp_replace(jd_text, '[\s\pZ\x0b]+', '', 'g')), '') AS j FROM s WHERE coalesce(poll_ok, 1) <> 0 AND e <> ''),
+     r AS (SELECT source, board, e, snapshot_no, first(t ORDER BY loaded_at DESC NULLS LAST, t DESC NULLS LAST) AS t,
+                  first(j ORDER BY loaded_at DESC NULLS LAST, j DESC) FILTER (j IS NOT NULL) AS j FROM w GROUP BY ALL),
      failed AS (SELECT DISTINCT source, board, snapshot_no FROM s WHERE poll_ok = 0),
      d AS (SELECT b.source, b.board, n.snapshot_no,
                   lag(n.snapshot_no) OVER (PARTITION BY b.source, b.board ORDER BY n.snapshot_no) AS before,

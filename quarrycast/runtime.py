@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -51,12 +53,21 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors share: the one of spark.checkpoint.dir, or where that is unset (tests on one
-    machine) a local one, which is then set."""
+    """A folder that all executors share: the one of spark.checkpoint.dir.
+
+    Where that is unset, one of this machine is set if all executors run on it; elsewhere that is an error, since
+    other machines could not read what is written there.
+    """
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/quarrycast-{uuid.uuid4().hex}")
+        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not where:
+            where = f"{tempfile.gettempdir()}/quarrycast-{uuid.uuid4().hex}"
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
+        sc.setCheckpointDir(where)
         held = sc._jsc.sc().getCheckpointDir()
     return held.get()
 

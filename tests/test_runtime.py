@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from quarrycast import runtime
 
 
@@ -12,6 +14,22 @@ def test_cut_keeps_rows_and_cuts_lineage(spark):
     assert runtime.shared_folder(spark) == spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def test_a_cluster_without_shared_folder_is_an_error():
+    class Context:
+        master = "yarn"
+        _jsc = property(lambda self: self)
+        sc = getCheckpointDir = lambda self: self
+        isEmpty = lambda self: True
+        getConf = lambda self: {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_folder(Session())
+
+
 def test_small_enough_hints_only_small_tables(spark):
     df = spark.range(10)
     assert "broadcast" in runtime.small_enough(df, 10)._jdf.queryExecution().logical().toString().lower()
@@ -41,10 +59,10 @@ def test_workers_without_the_package(tmp_path):
 import sys; sys.path.insert(0, {root!r})
 from quarrycast.runtime import local_session, ship
 from pyspark.sql import functions as F
-from quarrycast.operators.snapshots import bare
+from quarrycast.operators.snapshots import with_bare
 spark = local_session("away", 1, "1g")
 ship(spark)
-assert spark.createDataFrame([("e\\u0301 x",)], "t string").select(bare(F.col("t")).alias("t")).first().t == "\\u00e9x"
+assert spark.createDataFrame([("e\\u0301 x",)], "t string").transform(lambda df: with_bare(df, {"t": F.col("t")})).first().t == "\\u00e9x"
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)

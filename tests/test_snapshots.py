@@ -2,15 +2,20 @@
 
 import random
 
+import pytest
+
 from quarrycast.operators import snapshots
 from tests.conftest import rows
 
 SCHEMA = "snapshot_no int, source string, board string, poll_ok int, external_id string, title string, jd_text string, n int"
 
 
+def changes(df):
+    return snapshots.changes(df, "snapshot_no", ["source", "board"], "external_id", ["title", "jd_text"], ["jd_text"], "poll_ok", "n")
+
+
 def run(spark, data):
-    df = spark.createDataFrame(data, SCHEMA)
-    return rows(snapshots.changes(df, snapshots.numbers_of(df, "snapshot_no"), "snapshot_no", ["source", "board"], "external_id", ["title", "jd_text"], ["jd_text"], "poll_ok"), "source", "external_id", "snapshot_no", "change_kind")
+    return rows(changes(spark.createDataFrame(data, SCHEMA)), "source", "external_id", "snapshot_no", "change_kind")
 
 
 def loop(data):
@@ -60,6 +65,8 @@ def test_no_change(spark):
     b = (2, "s", "b", 1, " x ", "Café  Lead ", "One two three​", 0)
     c = (3, "s", "b", 1, "x", "Café Lead", None, 0)
     assert run(spark, [a, b, b, c]) == []
+    for space in "\t\r\x0b\x0c\x85\xa0\u2003\u2028\u2029\u202f\u3000\u200b\ufeff":
+        assert run(spark, [(1, "s", "b", 1, "x", "Lead", "One two", 0), (2, "s", "b", 1, "x", f"Lead{space}", f"{space}One{space} two{space}", 0)]) == [], space
     assert run(spark, [a, (2, "s", "b", 1, "x", "café Lead", "One two three", 0)]) == [("s", "x", 2, "changed")]
 
 
@@ -71,3 +78,21 @@ def test_defined_cases(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_the_last_of_differing_repeats_counts(spark):
+    """Whatever their hashes; a blank text that arrives last hides no text, a title that arrives last does."""
+    for old, new in (("a", "b"), ("b", "a")):
+        first = (1, "s", "b", 1, "x", new, new, 1)
+        repeats = [(2, "s", "b", 1, "x", old, old, 1), (2, "s", "b", 1, "x", new, new, 2), (2, "s", "b", 1, "x", new, " ", 3), (2, "s", "b", 1, "x", old, old, None)]
+        assert run(spark, [first, *repeats]) == []
+        assert run(spark, [first, *repeats, (2, "s", "b", 1, "x", old, None, 4)]) == [("s", "x", 2, "changed")]
+
+
+def test_hundreds_of_deliveries(spark):
+    """The plan doesn't grow with the deliveries, and a posting that comes and goes is followed through all of them."""
+    data = [(n, "s", "b", 1, k, f"T{n // 100}", "t", 0) for n in range(1, 401) for k in ("x", "y") if k == "x" or n % 7]
+    few, many = spark.createDataFrame(data[:6], SCHEMA), spark.createDataFrame(data, SCHEMA)
+    plans = [changes(df)._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0] for df in (few, many)]
+    assert len(plans[0]) == pytest.approx(len(plans[1]), rel=0.05)
+    assert run(spark, data) == loop(data) and len(data) > 700
