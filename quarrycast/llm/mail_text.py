@@ -1,27 +1,34 @@
 """Newly written lines of mails: without quoted messages, signatures, device lines and notices.
 
-Per thread, the sentences of all earlier messages and the closing blocks of their senders are put into one
-pattern automaton (Aho-Corasick over words); each later message is scanned, its matches are merged into
-intervals, and what they cover in quoting or closing position is subtracted. A grammar of lines then decides
-on quotes that mark themselves, by prefix, introduction or header block, on closing formulas with what
-follows them, and on notices.
-
-Threads are groups of one shuffle. A thread of more than BLOCK messages is split into blocks, and every block
-is scanned against the automata of all its blocks, so no task ever holds a whole hot thread.
+A grammar of lines finds what marks itself: prefixed quotes, header blocks, introductions, device lines and notices.
+What is left of all messages of a thread, and the sentences of their marked quotes, become the patterns of one
+automaton (Aho-Corasick over words) that knows when each was first written: sentences, and the lines of each
+sender's closing blocks. Every message is scanned against it where it carries no mark; matches of what was written
+before are merged to intervals. Intervals of at least LEAST words are quotes wherever they stand, any is one below
+an introduction, and closing lines are below a closing formula.
+
+Threads are groups of one shuffle of the bodies. The patterns of a thread of more than LARGE messages are collected
+by an aggregation and spread over blocks, each with an automaton of its own; intervals of all blocks are united
+before anything is derived from them, so results don't depend on how a thread is cut.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 2_000  #: messages of a thread in one group
-LEAST = 8  #: words of a run that counts as quoted without any mark
-LONGEST_INTRO, LONGEST_CONTACT = 600, 200  #: characters beyond which a line is neither
+from quarrycast.runtime import ship
+
+LARGE = 2_000  #: messages of a thread above which its patterns are spread over blocks
+BLOCK = 20_000  #: patterns of one automaton of such a thread, and messages that one task scans against it
+LEAST = 32  #: words of repeated sentences in a row that count as a quote without any mark
+PATTERN = 64  #: words of the longest pattern
+LINES_KEPT = 100_000  #: lines whose features a worker remembers
 
 # --- fixed values: wordings of mail programs and of closings ------------------------------------------------
 CLOSINGS = """best|all the best|best regards|best wishes|kind regards|warm regards|warmly|regards|many thanks|thanks|thank you|thanks again|thanks and regards|with thanks|cheers|br|sincerely|sincerely yours|yours sincerely|yours faithfully|yours truly|respectfully|take care|talk soon
@@ -76,7 +83,9 @@ _CONTACT = re.compile(
 )
 _POSTSCRIPT = re.compile(r"^\W*(?:p\.?\s*p?\.?\s*s\.?|n\.?b\.?|ps)\s*[:.)-]", re.I)
 _WORD = re.compile(r"[^\W_]+")
-_STOP = re.compile(r"(?<=[.!?:;])\s+|\n\s*\n")
+_STOP = re.compile(r"(?<=[.!?。！？।])\s+|\n\s*\n")
+#: Fixed value: what each wording of NOTICES has at least one of, in lower case.
+_NOTICE_PARTS = "confiden privileged disclaimer liability copying disclosure mistake error recipient views contract consider printing receiv unsubscribe automated reply registered rights vertraulich empfänger umwelt handelsregister newsletter courriel message mail destin désabonner environnement baja imprimir destinatário inscrição poufn конфиденциальн".split()
 
 
 def lines_of(body: str) -> list[str]:
@@ -94,79 +103,25 @@ def words_at(lines: list[str]) -> tuple[list[str], list[int]]:
     """The words of the lines without quote marks, and the line of each."""
     out, at = [], []
     for i, x in enumerate(lines):
-        for w in _WORD.findall(_unquoted(x).lower()):
-            out.append(w)
-            at.append(i)
+        found = _WORD.findall(_unquoted(x).lower())
+        out += found
+        at += [i] * len(found)
     return out, at
 
 
-def sentences(lines: list[str]) -> set[str]:
-    """The sentences of a message as spaced words, whatever lines they were wrapped to."""
-    text = "\n".join(_unquoted(x).strip() for x in lines)
-    return {s for part in _STOP.split(text) if (s := " ".join(_WORD.findall(part.lower())))}
-
-
-def closing_block(lines: list[str]) -> list[str]:
-    """The lines from the last closing formula or signature mark on, up to the next quote."""
-    kinds = kinds_of(lines, "", frozenset())
-    return [x for x, k in zip(lines, kinds) if k == "sign" and _WORD.search(x)]
-
-
-class Patterns:
-    """An automaton over words of earlier sentences and closing blocks; finds the lines that matches cover."""
-
-    def __init__(self, texts: set[str]):
-        import ahocorasick
-
-        self.auto = ahocorasick.Automaton()
-        for t in texts:
-            self.auto.add_word(f" {t} ", len(t) + 2)
-        self.any = bool(texts)
-        if self.any:
-            self.auto.make_automaton()
+def sentences(lines: list[str]) -> list[str]:
+    """The sentences of lines in order as spaced words, whatever lines they were wrapped to.
 
-    def covered(self, lines: list[str]) -> frozenset[int]:
-        """The lines all of whose words lie in merged matches."""
-        return lines_within(words_at(lines), self.spans(lines))
-
-    def spans(self, lines: list[str]) -> list[list[int]]:
-        """[begin, end] of the merged matches in the spaced words of the lines."""
-        tokens, _ = words_at(lines)
-        if not tokens or not self.any:
-            return []
-        text = f" {' '.join(tokens)} "
-        merged: list[list[int]] = []
-        for end, size in sorted((e, s) for e, s in self.auto.iter(text)):
-            begin = end - size + 1
-            while merged and merged[-1][0] >= begin:
-                merged.pop()
-            if merged and begin <= merged[-1][1]:
-                merged[-1][1] = max(end, merged[-1][1])
-            else:
-                merged.append([begin, end])
-        return merged
-
-
-def lines_within(words: tuple[list[str], list[int]], spans: list[list[int]]) -> frozenset[int]:
-    """The lines all of whose words, as words_at() gives them, lie in the spans, those of several automata merged."""
-    if not spans:
-        return frozenset()
-    tokens, at = words
-    merged: list[list[int]] = []
-    for begin, end in sorted(spans):
-        if merged and begin <= merged[-1][1]:
-            merged[-1][1] = max(end, merged[-1][1])
-        else:
-            merged.append([begin, end])
-    out, pos, k = {*at}, 0, 0
-    for w, i in zip(tokens, at):
-        a, b = pos, pos + len(w) + 1  # with the spaces on both sides
-        while k < len(merged) and merged[k][1] < b:
-            k += 1
-        if k == len(merged) or merged[k][0] > a:
-            out.discard(i)
-        pos += len(w) + 1
-    return frozenset(out)
+    Those of more than PATTERN words come as even parts, so that scanning takes linear time in any text; intervals
+    join what the parts match.
+    """
+    text = "\n".join(_unquoted(x).strip() for x in lines).lower()
+    out = []
+    for part in _STOP.split(text):
+        words = _WORD.findall(part)
+        parts = -(-len(words) // PATTERN)
+        out += [" ".join(words[k * len(words) // parts : (k + 1) * len(words) // parts]) for k in range(parts)]
+    return out
 
 
 def _names(sender: str | None) -> list[str]:
@@ -184,52 +139,61 @@ def _signed(line: str, names: list[str]) -> bool:
     return t.lower() in names or bool(re.fullmatch(r"[^\W\d_a-z][\w'’.-]*(?:\s+[^\W\d_a-z][\w'’.-]*){0,2}", t))
 
 
-def kinds_of(lines: list[str], sender: str | None, covered: frozenset[int], signs: frozenset[int] = frozenset()) -> list[str]:
-    """For each line: 'new', 'blank', 'quote', 'intro', 'sign', 'device' or 'notice'.
+class _Features(dict):
+    """What a line is by itself, remembered for lines that come again: a bit for each of the patterns below."""
 
-    covered are lines that occur in earlier messages of the thread, signs those in closing blocks of their senders.
-    """
-    n = len(lines)
-    kind = ["quote" if _QUOTE.match(x) else "" if _WORD.search(x) or x.strip() else "blank" for x in lines]
-    names = _names(sender)
+    QUOTE, FORWARD, FIRST_HEADER, HEADER, NOTICE, DEVICE, CLOSING, SIGN, RULE, CONTACT, POSTSCRIPT, WORDS, PART = (1 << i for i in range(13))
+
+    def __missing__(self, line: str) -> int:
+        f = self.WORDS if line.strip() else 0
+        if f and _QUOTE.match(line):
+            f |= self.QUOTE
+        elif f:
+            if any(map(line.lower().__contains__, _NOTICE_PARTS)):
+                f |= self.PART | self.NOTICE * bool(_NOTICE.search(line))
+            f |= self.FORWARD * bool(_FORWARD.match(line)) | self.DEVICE * bool(_DEVICE.match(line))
+            f |= self.CLOSING * bool(_CLOSING.match(line)) | self.SIGN * bool(_SIGN.match(line)) | self.RULE * bool(_RULE.match(line)) | self.CONTACT * bool(_CONTACT.match(line)) | self.POSTSCRIPT * bool(_POSTSCRIPT.match(line))
+            if ":" in line:
+                f |= self.HEADER * bool(_HEADER.match(line)) | self.FIRST_HEADER * bool(_FIRST_HEADER.match(line))
+        if len(self) >= LINES_KEPT:
+            self.clear()
+        self[line] = f
+        return f
+
+
+_features = _Features()
+
+
+def marks(lines: list[str]) -> list[str]:
+    """For each line: 'blank', 'quote', 'intro', 'notice' or 'device' where it marks itself as such, else ''."""
+    n, is_ = len(lines), _features
+    feature = [is_[x] for x in lines]
+    kind = ["quote" if f & is_.QUOTE else "" if f else "blank" for f in feature]
     # quotes without prefix: all from a header block on
-    for i, x in enumerate(lines):
-        if kind[i]:
-            continue
-        forward = bool(_FORWARD.match(x))
-        block = sum(bool(_HEADER.match(y)) for y in lines[i : i + 5])
-        if forward or (_FIRST_HEADER.match(x) and block >= 3):
+    for i, f in enumerate(feature):
+        if not kind[i] and (f & is_.FORWARD or (f & is_.FIRST_HEADER and sum(bool(g & is_.HEADER) for g in feature[i : i + 5]) >= 3)):
             for k in range(i, n):
                 kind[k] = kind[k] if kind[k] == "blank" else "quote"
             k = i - 1
             while k >= 0 and kind[k] == "blank":
                 k -= 1
-            if k >= 0 and not kind[k] and _RULE.match(lines[k]):
+            if k >= 0 and not kind[k] and feature[k] & is_.RULE:
                 kind[k] = "intro"
             break
-    # introductions: up to three lines that end where a quote begins, or that stand before the rest
+    # introductions: up to three lines, the last with a colon at its end
     i = 0
     while i < n:
         if not kind[i]:
             for size in (1, 2, 3):
-                part = lines[i : i + size]
-                if len(part) < size or any(kind[k] for k in range(i, i + size)):
+                if i + size > n or any(kind[i : i + size]):
                     break
-                if sum(map(len, part)) <= LONGEST_INTRO and _INTRO.match(" ".join(x.strip() for x in part)):
-                    k = i + size
-                    while k < n and kind[k] == "blank":
-                        k += 1
-                    if k < n and kind[k] != "quote" and k in covered:  # a quote without prefix
-                        while k < n and (kind[k] == "blank" or (not kind[k] and k in covered)):
-                            kind[k] = kind[k] or "quote"
-                            k += 1
-                    for k in range(i, i + size):
-                        kind[k] = "intro"
+                if lines[i + size - 1].rstrip().endswith(":") and _INTRO.match(" ".join(x.strip() for x in lines[i : i + size])):
+                    kind[i : i + size] = ["intro"] * size
                     i += size - 1
                     break
         i += 1
-    # notices: a paragraph from the first line that words one on, with the rule above it
-    i = 0
+    # notices: a paragraph from the first line that words one on, alone or with the next, and the rule above it
+    i = 0 if any(f & is_.PART for f in feature) else n
     while i < n:
         j = i
         while j < n and not kind[j]:
@@ -237,153 +201,305 @@ def kinds_of(lines: list[str], sender: str | None, covered: frozenset[int], sign
         if j == i:
             i += 1
             continue
-        first = next((k for k in range(i, j) if _NOTICE.search(lines[k]) or _NOTICE.search(" ".join(lines[k : min(j, k + 2)]))), None)
-        if first is not None and not _NOTICE.search(lines[first]) and first + 1 < j and _NOTICE.search(lines[first + 1]):
-            first += 1
+        first = next((k for k in range(i, j) if feature[k] & is_.NOTICE or (k + 1 < j and (feature[k] | feature[k + 1]) & is_.PART and not feature[k + 1] & is_.NOTICE and _NOTICE.search(f"{lines[k]} {lines[k + 1]}"))), None)
         if first is not None:
-            for k in range(first, j):
-                kind[k] = "notice"
+            kind[first:j] = ["notice"] * (j - first)
             k = first - 1
             while k >= 0 and kind[k] == "blank":
                 k -= 1
-            if k >= 0 and not kind[k] and _RULE.match(lines[k]):
+            if k >= 0 and not kind[k] and feature[k] & is_.RULE:
                 kind[k] = "notice"
         i = j
-    for i, x in enumerate(lines):
-        if not kind[i] and _DEVICE.match(x):
+    for i, f in enumerate(feature):
+        if not kind[i] and f & is_.DEVICE:
             kind[i] = "device"
-    # closings and signature marks with the names and contacts below them
-    i = 0
+    return kind
+
+
+def closings(lines: list[str], kind: list[str], sender: str | None, signs: frozenset[int]) -> None:
+    """Put 'sign' where a closing formula or signature mark is, and for the names and contacts below it; signs are
+    lines of earlier closing blocks of the sender."""
+    n, is_ = len(lines), _features
+    i, names = 0, None
     while i < n:
-        if not kind[i] and (_CLOSING.match(lines[i]) or _SIGN.match(lines[i])):
-            marked, kind[i] = bool(_SIGN.match(lines[i])), "sign"
-            k, fresh, taken = i + 1, True, False
-            while k < n and (kind[k] in ("", "blank")):
-                if kind[k] == "blank":
-                    fresh = True
-                elif _POSTSCRIPT.match(lines[k]):
-                    break
-                elif _signed(lines[k], names) or (len(lines[k]) <= LONGEST_CONTACT and _CONTACT.match(lines[k])) or _SIGN.match(lines[k]) or _CLOSING.match(lines[k]) or k in signs or (not fresh and (taken or marked) and len(lines[k]) <= 60 and not re.search(r"[.!?]$", lines[k].strip())):
-                    kind[k], fresh, taken = "sign", False, True
-                else:
-                    break
-                k += 1
-            i = k
-        else:
+        f = is_[lines[i]]
+        if kind[i] or not f & (is_.CLOSING | is_.SIGN):
             i += 1
+            continue
+        names = _names(sender) if names is None else names
+        marked, kind[i] = bool(f & is_.SIGN), "sign"
+        k, fresh, taken = i + 1, True, False
+        while k < n and kind[k] in ("", "blank"):
+            g = is_[lines[k]]
+            if kind[k] == "blank":
+                fresh = True
+            elif g & is_.POSTSCRIPT:
+                break
+            elif g & (is_.CONTACT | is_.SIGN | is_.CLOSING) or _signed(lines[k], names) or k in signs or (not fresh and (taken or marked) and not re.search(r"[.!?]$", lines[k].strip())):
+                kind[k], fresh, taken = "sign", False, True
+            else:
+                break
+            k += 1
+        i = k
+
+
+def kinds_of(lines: list[str], sender: str | None, quoted: frozenset[int] = frozenset(), covered: frozenset[int] = frozenset(), signs: frozenset[int] = frozenset(), marked: list[str] | None = None) -> list[str]:
+    """For each line: 'new', 'blank', 'quote', 'intro', 'sign', 'device' or 'notice'.
+
+    Of the lines without mark, covered are those that repeat sentences of earlier messages, quoted those of them in
+    intervals long enough to be quotes, signs those of earlier closing blocks of the sender. marked are the marks of
+    the lines where they are known.
+    """
+    n, kind = len(lines), list(marked) if marked else marks(lines)
+    # a quote without prefix below its introduction
+    for i in range(n):
+        if kind[i] == "intro":
+            k = i + 1
+            while k < n and (kind[k] == "blank" or (not kind[k] and k in covered)):
+                kind[k] = kind[k] or "quote"
+                k += 1
+    closings(lines, kind, sender, signs)
+    for i in quoted:
+        kind[i] = kind[i] or "quote"
     # a rule that is left between written text and what was taken away belongs to the latter
-    for i, x in enumerate(lines):
-        if not kind[i] and _RULE.match(x) and all(kind[k] for k in range(i + 1, n)):
+    for i in range(n - 1, -1, -1):
+        if not kind[i]:
+            if not _features[lines[i]] & _features.RULE:
+                break
             kind[i] = "sign"
-    # a run of earlier sentences at the end that carries no mark at all
-    last = n - 1
-    while last >= 0 and kind[last]:
-        last -= 1
-    first = last
-    while first >= 0 and (kind[first] == "blank" or (not kind[first] and first in covered)):
-        first -= 1
-    run = [k for k in range(first + 1, last + 1) if not kind[k]]
-    opens = run and kind[run[0] - 1] == "blank"  # a whole paragraph, not the end of a sentence
-    if first >= 0 and opens and len(run) >= 6 and any(not kind[k] for k in range(first + 1)) and sum(len(_WORD.findall(lines[k])) for k in run) >= 4 * LEAST:
-        for k in run:
-            kind[k] = "quote"
     return [k or "new" for k in kind]
 
 
-def _scan_group(rows: list[tuple]) -> Iterator[tuple[int, list[int], list[int]]]:
-    """(row, spans of earlier sentences, of closing blocks), begins and ends in turn, of each target of a group, from its earlier sources.
+# --- patterns and the automaton of a thread ----------------------------------------------------------------------
+NEW, QUOTED, CLOSE = "new", "quoted", "close"
+SENTENCE, SIGNS = range(2)  #: what intervals are made of
+Key = tuple[bool, int, str]  #: order of messages in a thread: unknown times last, then time, then id
+
+
+Read = tuple[list[str], list[str]]  #: the lines of a body and their marks
+
+
+def read(body: str) -> Read:
+    lines = lines_of(body)
+    return lines, marks(lines)
+
 
-    rows are (at, gmail_id, from_addr, body, source, target). They are taken in the order of time, unknown times
-    last; the automaton is built anew only for targets that have a new source before them.
+def patterns_of(message: Read, sender: str, known: bool) -> set[tuple[str, str, str]]:
+    """(words, what, sender) of the sentences and closing lines of a message.
+
+    Marked quotes give patterns only where the time of their message is known; only closing lines name the sender.
     """
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None or rows[k][0] != rows[k][0], rows[k][0] or 0, rows[k][1]))
-    texts: set[str] = set()
-    closes: dict[str, set[str]] = {}
-    built: Patterns | None = None
-    signed: dict[str, Patterns] = {}
-    for n, k in enumerate(order):
-        _, _, sender, body, source, target = rows[k]
-        lines = lines_of(body)
-        if target:
-            built = built or Patterns(texts)
-            if sender in closes and sender not in signed:
-                signed[sender] = Patterns(closes[sender])
-            yield k, *([x for span in p.spans(lines) for x in span] if p else [] for p in (built, signed.get(sender)))
-        if source and n + 1 < len(order):  # nothing comes after the last
-            new = sentences(lines)
-            if not new <= texts:
-                texts |= new
-                built = None
-            block = {" ".join(_WORD.findall(x.lower())) for x in closing_block(lines)} - {""}
-            if not block <= closes.setdefault(sender, set()):
-                closes[sender] |= block
-                signed.pop(sender, None)
-
-
-def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of batches, sorted by group, in frames that hold whole groups."""
-    held = None
+    lines, kind = message[0], list(message[1])
+    out = set()
+    for what, kinds in ((NEW, ("", "blank")), (QUOTED, ("quote", "blank"))):
+        if what == QUOTED and not known:
+            continue
+        for part in _stretches(lines, kind, kinds):
+            out.update((x, what, "") for x in sentences([lines[i] for i in part]))
+    closings(lines, kind, sender, frozenset())
+    out |= {(" ".join(w), CLOSE, sender) for x, k in zip(lines, kind) if k == "sign" and (w := _WORD.findall(x.lower()))}
+    return out
+
+
+def _stretches(lines: list[str], kind: list[str], kinds: tuple[str, str]) -> Iterator[list[int]]:
+    """The runs of lines of the kinds given that hold anything."""
+    run: list[int] = []
+    for i, k in enumerate([*kind, "end"]):
+        if k in kinds:
+            run.append(i)
+        else:
+            if any(kind[x] == kinds[0] for x in run):
+                yield run
+            run = []
+
+
+class Patterns:
+    """An automaton over the patterns of a thread, each with the first message that has it: {(words, what, sender): key}."""
+
+    def __init__(self, first: dict[tuple[str, str, str], Key]):
+        import ahocorasick
+
+        held: dict[str, list[tuple[int, str, str, Key]]] = {}
+        for (words, what, sender), key in first.items():
+            held.setdefault(f" {words} ", []).append((SIGNS if what == CLOSE else SENTENCE, what, sender, key))
+        self.auto = ahocorasick.Automaton()
+        for words, values in held.items():
+            self.auto.add_word(words, (len(words), values))
+        if held:
+            self.auto.make_automaton()
+        self.any = bool(held)
+
+    def spans(self, text: str, key: Key, sender: str, known: bool) -> tuple[list[int], list[int]]:
+        """Begins and ends in turn of what text repeats of messages before key: sentences, closing lines."""
+        out: tuple[list[int], list[int]] = ([], [])
+        if self.any:
+            for end, (size, values) in self.auto.iter(text):
+                for made, what, by, first in values:
+                    if first < key and (what != QUOTED or known) and (what != CLOSE or by == sender):
+                        out[made].extend((end - size + 1, end))
+        return out
+
+
+def scanned(message: Read) -> tuple[str, list[tuple[int, int, int]]]:
+    """The unmarked words of a message, spaced, with a line feed between stretches, and (begin, end, line) of each line's."""
+    lines, kind = message
+    parts, where, pos = [], [], 0
+    for part in _stretches(lines, kind, ("", "blank")):
+        words = []
+        at = pos + 1
+        for i in part:
+            found = _WORD.findall(lines[i].lower())
+            if found:
+                size = sum(map(len, found)) + len(found)
+                where.append((at - 1, at + size - 1, i))  # with the blanks on both sides
+                at += size
+                words += found
+        if words:
+            parts.append(f" {' '.join(words)} ")
+            pos = at + 1
+    return "\n".join(parts), where
+
+
+def _merged(spans: list[int]) -> list[list[int]]:
+    """Begins and ends in turn, as disjoint intervals; those that share a blank are one."""
+    out: list[list[int]] = []
+    for a, b in sorted(zip(spans[::2], spans[1::2])):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def new_lines(message: Read, sender: str, spans: tuple[list[int], list[int]], words: tuple[str, list[tuple[int, int, int]]]) -> list[int]:
+    """Numbers of the lines of a message that its sender wrote anew, by the spans of its unmarked words, as scanned()
+    gives them, that are repeated."""
+    text, where = words
+
+    def inside(merged: list[list[int]]) -> frozenset[int]:
+        begins = [a for a, _ in merged]
+        return frozenset(i for a, b, i in where if (k := bisect_right(begins, a)) and merged[k - 1][1] >= b) if merged else frozenset()
+
+    repeated = _merged(spans[SENTENCE])
+    long = [x for x in repeated if text.count(" ", x[0], x[1] + 1) > LEAST]
+    kinds = kinds_of(message[0], sender, inside(long), inside(repeated), inside(_merged(spans[SIGNS])), message[1])
+    return [i + 1 for i, k in enumerate(kinds) if k == "new"]
+
+
+def first_of(rows: list[tuple[Key, str, Read, bool]]) -> dict[tuple[str, str, str], Key]:
+    """Each pattern of messages (key, sender, message, known), which come in order, with the first that has it."""
+    out: dict[tuple[str, str, str], Key] = {}
+    for key, sender, message, known in reversed(rows):
+        out |= dict.fromkeys(patterns_of(message, sender, known), key)
+    return out
+
+
+def _thread(rows: list[tuple[Key, str, str, bool]]) -> Iterator[tuple[str, int]]:
+    """(gmail_id, line) of the new lines of a thread's messages; messages stored twice count once."""
+    messages = [(key, sender, read(body), known) for key, sender, body, known in sorted(set(rows))]
+    # nothing comes before the first message or after the last
+    built = Patterns(first_of([m for m in messages if m[0] < messages[-1][0]]))
+    for key, sender, message, known in messages:
+        words = scanned(message)
+        for i in new_lines(message, sender, built.spans(words[0], key, sender, known), words):
+            yield key[2], i
+
+
+# --- the operator ------------------------------------------------------------------------------------------------
+RESULT = "gmail_id string, line_no int"
+
+
+def _runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[list[tuple]]:
+    """The rows of batches, sorted by the columns given, as lists of plain tuples, one for each of their values."""
+    held, at = [], None
     for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        same = (rows["thread"] == rows["thread"].iloc[-1]) & (rows["i"] == rows["i"].iloc[-1]) & (rows["j"] == rows["j"].iloc[-1])
-        held = rows[same]
-        if not same.all():
-            yield rows[~same]
-    if held is not None:
+        for key, row in zip(zip(*(batch[c].tolist() for c in by)), batch.itertuples(index=False, name=None)):
+            if key != at and held:
+                yield held
+                held = []
+            at = key
+            held.append(row)
+    if held:
         yield held
 
 
-def _scan_groups(rows: pd.DataFrame) -> pd.DataFrame:
-    """The results of _scan_group() for each group of rows, which come sorted by group."""
-    keys = list(zip(rows["thread"], rows["i"], rows["j"]))
-    plain = list(zip(rows["at"].tolist(), rows["gmail_id"], rows["from_addr"], rows["body"], rows["source"].tolist(), rows["target"].tolist()))
-    out, begin = [], 0
-    for end in range(1, len(keys) + 1):
-        if end == len(keys) or keys[end] != keys[begin]:
-            group = plain[begin:end]
-            out += [(group[k][1], group[k][2], group[k][3], c, s) for k, c, s in _scan_group(group)]
-            begin = end
-    return pd.DataFrame(out, columns=["gmail_id", "from_addr", "body", "covered", "signs"])
-
-
-def _decide(rows: pd.DataFrame) -> pd.DataFrame:
-    """The new lines of messages with the spans that earlier sentences and closing blocks cover."""
-    ids, nos = [], []
-    for r in rows.itertuples():
-        lines = lines_of(r.body)
-        words = words_at(lines)
-        covered, signs = (lines_within(words, [[int(a), int(b)] for a, b in zip(x[::2], x[1::2])]) for x in (r.covered, r.signs))
-        kinds = kinds_of(lines, r.from_addr, covered, signs)
-        new = [k + 1 for k, x in enumerate(kinds) if x == "new"]
-        ids += [r.gmail_id] * len(new)
-        nos += new
-    return pd.DataFrame({"gmail_id": pd.Series(ids, dtype="object"), "line_no": pd.Series(nos, dtype="int32")})
-
-
-def written_lines(df: DataFrame, block: int = BLOCK) -> DataFrame:
+def _lines_frame(found: Iterator[tuple[str, int]]) -> pd.DataFrame:
+    ids, lines = zip(*pairs) if (pairs := list(found)) else ((), ())
+    return pd.DataFrame({"gmail_id": pd.Series(ids, dtype="object"), "line_no": pd.Series(lines, dtype="int32")})
+
+
+def _small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """New lines of whole threads: columns thread, unknown, at, gmail_id, from_addr, body, known, sorted by thread."""
+    for run in _runs(batches, ["thread"]):
+        yield _lines_frame(_thread([((u, t, g), s, b, k) for _, u, t, g, s, b, k in run]))
+
+
+def _patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = [(r[0], *p, *r[1:4]) for r in batch.itertuples(index=False, name=None) for p in patterns_of(read(r[5]), r[4], r[6])]
+        yield pd.DataFrame(out, columns=["thread", "words", "what", "sender", "unknown", "at", "gmail_id"])
+
+
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spans of messages against blocks of patterns: rows of a block come with its patterns first."""
+    group, first, built = None, {}, None
+    for batch in batches:
+        out = []
+        for thread, i, j, words, what, sender, unknown, at, gmail_id, body, known, digest in batch.itertuples(index=False, name=None):
+            if group != (thread, i, j):
+                group, first, built = (thread, i, j), {}, None
+            if isinstance(words, str):
+                first[words, what, sender] = (unknown, at, gmail_id)
+                continue
+            built = built or Patterns(first)
+            out.append((thread, gmail_id, digest, *built.spans(scanned(read(body))[0], (unknown, at, gmail_id), sender, known)))
+        yield pd.DataFrame(out, columns=["thread", "gmail_id", "digest", "sentence", "signs"])
+
+
+def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batch: pd.DataFrame) -> Iterator[tuple[str, int]]:
+        for gmail_id, sender, body, *spans in batch.itertuples(index=False, name=None):
+            message = read(body)
+            for i in new_lines(message, sender, tuple([*map(int, x)] for x in spans), scanned(message)):
+                yield gmail_id, i
+
+    for batch in batches:
+        yield _lines_frame(found(batch))
+
+
+def written_lines(df: DataFrame, large: int = LARGE, block: int = BLOCK) -> DataFrame:
     """(gmail_id, line_no) of each non-blank line that the sender of the message wrote anew.
 
     df has gmail_id, thread_id, from_addr, body, received_at and seen_at. Messages stored twice count once; a
-    null thread is a thread of its own, null and blank bodies have no lines, a null time is after all others
-    of its thread. Bodies of one gmail_id that differ are taken each for itself, and their lines united.
+    null thread is a thread of its own, null and blank bodies have no lines. Messages are in the order of
+    received_at, or seen_at where that is null; without either they come last. Marked quotes are patterns only between
+    messages whose received_at is known, since else what they quote may seem to come later. Bodies of one gmail_id that
+    differ are taken each for itself, and their lines united. large and block change no result.
     """
-    at = F.coalesce(F.col("received_at").try_cast("timestamp"), F.col("seen_at").try_cast("timestamp"))
-    rows = df.where(F.col("body").rlike(r"\S") & F.col("gmail_id").isNotNull()).select("gmail_id", "body", F.coalesce("thread_id", F.concat(F.lit("~"), "gmail_id")).alias("thread"), F.coalesce("from_addr", F.lit("")).alias("from_addr"), F.unix_micros(at).alias("at"))
-    rows = rows.groupBy("gmail_id", "thread", "body").agg(F.min(F.struct("at", "from_addr")).alias("m")).select("gmail_id", "thread", "body", "m.*")
-    hot = rows.groupBy("thread").agg(F.count("*").alias("n")).where(F.col("n") > block).select("thread", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    rows = rows.join(hot, "thread", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("gmail_id"), F.col("parts")).cast("int")
-    other = F.sequence(F.lit(0), F.col("parts") - 1)
-    as_source = F.transform(F.filter(other, lambda p: p != own), lambda p: F.struct(own.alias("i"), p.alias("j"), F.lit(True).alias("source"), F.lit(False).alias("target")))
-    as_target = F.transform(F.filter(other, lambda p: p != own), lambda p: F.struct(p.alias("i"), own.alias("j"), F.lit(False).alias("source"), F.lit(True).alias("target")))
-    both = F.array(F.struct(own.alias("i"), own.alias("j"), F.lit(True).alias("source"), F.lit(True).alias("target")))
-    rows = rows.withColumn("x", F.explode(F.concat(as_source, as_target, both))).select("thread", "gmail_id", "from_addr", "body", "at", "parts", "x.*")
-
+    ship(df.sparkSession)
+    own = F.coalesce("thread_id", F.concat(F.lit("~"), "gmail_id"))
+    received = F.col("received_at").try_cast("timestamp")
+    at = F.unix_micros(F.coalesce(received, F.col("seen_at").try_cast("timestamp")))
+    kept = df.where(F.col("gmail_id").isNotNull()).withColumn("thread", own)
+    rows = kept.where(F.col("body").rlike(r"\S")).select("thread", at.isNull().alias("unknown"), F.coalesce(at, F.lit(0)).alias("at"), "gmail_id", F.coalesce("from_addr", F.lit("")).alias("from_addr"), "body", received.isNotNull().alias("known"))
+    counts = kept.groupBy("thread").agg(F.count("*").alias("n")).where(F.col("n") > large).select("thread")
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
-    placed = lambda x: x.repartition(n, "thread", "i", "j").sortWithinPartitions("thread", "i", "j")
-    result = "gmail_id string, line_no int"
-    whole = placed(rows.where("parts = 1")).mapInPandas(lambda batches: map(_decide, map(_scan_groups, _whole_groups(batches))), result)
-    # messages of split threads have a row for each block: what the blocks found is united before the decision
-    split = placed(rows.where("parts > 1")).mapInPandas(lambda batches: map(_scan_groups, _whole_groups(batches)), "gmail_id string, from_addr string, body string, covered array<int>, signs array<int>")
-    split = split.groupBy("gmail_id", "from_addr", "body").agg(F.flatten(F.collect_list("covered")).alias("covered"), F.flatten(F.collect_list("signs")).alias("signs"))
-    return whole.unionByName(split.mapInPandas(lambda batches: map(_decide, batches), result)).distinct()
+    # a message stored twice has its earliest time; inside a thread, so that bodies are shuffled once
+    small = rows.join(counts, "thread", "left_anti").repartition(n, "thread").sortWithinPartitions("thread").mapInPandas(_small, RESULT)
+
+    hot = rows.join(counts, "thread", "left_semi").withColumn("digest", F.xxhash64("gmail_id", "from_addr", "body"))
+    found = hot.drop("digest").mapInPandas(_patterns, "thread string, words string, what string, sender string, unknown boolean, at bigint, gmail_id string")
+    first = found.groupBy("thread", "words", "what", "sender").agg(F.min(F.struct("unknown", "at", "gmail_id")).alias("k")).select("thread", "words", "what", "sender", "k.*")
+    sizes = first.groupBy("thread").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = sizes.join(hot.groupBy("thread").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks")), "thread")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    # no nulls in numbers, which would make them floating ones in a batch; patterns of the same words share a block, so that each automaton has them once
+    patterns = first.join(sizes, "thread").withColumn("i", F.pmod(F.xxhash64("words"), F.col("blocks")).cast("int")).withColumn("j", upto("chunks"))
+    patterns = patterns.select("thread", "i", "j", "words", "what", "sender", "unknown", "at", "gmail_id", F.lit("").alias("body"), F.lit(False).alias("known"), F.lit(0).cast("bigint").alias("digest"))
+    targets = hot.join(sizes, "thread").withColumn("j", F.pmod("digest", F.col("chunks")).cast("int")).withColumn("i", upto("blocks"))
+    targets = targets.select("thread", "i", "j", F.lit(None).cast("string").alias("words"), F.lit(None).cast("string").alias("what"), F.col("from_addr").alias("sender"), "unknown", "at", "gmail_id", "body", "known", "digest")
+    both = patterns.unionByName(targets).repartition(n, "thread", "i", "j").sortWithinPartitions("thread", "i", "j", F.col("words").asc_nulls_last())
+    spans = both.mapInPandas(_scan, "thread string, gmail_id string, digest bigint, sentence array<int>, signs array<int>")
+    spans = spans.groupBy("thread", "gmail_id", "digest").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("sentence", "signs")])
+    split = hot.join(spans, ["thread", "gmail_id", "digest"]).select("gmail_id", "from_addr", "body", "sentence", "signs").mapInPandas(_decide, RESULT)
+    return small.unionByName(split).distinct()
