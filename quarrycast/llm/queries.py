@@ -17,10 +17,19 @@ def p8_found(spark, sf_dir):
     return leaks.find(documents, table(spark, sf_dir, "eval_items", "item_id", "text")).distinct()
 
 
-def p3_found(spark, sf_dir):
+def matched(spark, sf_dir):
     items = table(spark, sf_dir, "funding_items", "id", "company_name", "headline", "resolved_domain")
-    found = matching.match(items, table(spark, sf_dir, "companies", "id", "name", "domain", "notes"))
-    return found.where(F.col("confidence") >= matching.LEAST_CONFIDENCE).select(F.col("id").alias("funding_id"), "company_id")
+    return matching.match(items, table(spark, sf_dir, "companies", "id", "name", "domain", "notes"))
+
+
+def p3_found(spark, sf_dir):
+    found = matched(spark, sf_dir)
+    return found.where(F.col("confidence") > matching.LEAST_CONFIDENCE).select(F.col("id").alias("funding_id"), "company_id")
+
+
+def p3_confidence(spark, sf_dir):
+    """Every match with the rule that made it and the rule's confidence, weak ones included."""
+    return matched(spark, sf_dir).select(F.col("id").alias("funding_id"), "company_id", "rule", "confidence")
 
 
 def p5_found(spark, sf_dir):
@@ -37,7 +46,7 @@ def p9_found(spark, sf_dir):
     return found.select("doc_id", F.when(F.col("lost"), F.lit("")).otherwise(F.md5(F.encode("restored", "UTF-8"))).alias("restored_md5")).distinct()
 
 
-QUERIES = {"p9_found": p9_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p9_found": p9_found, "p3_found": p3_found, "p3_confidence": p3_confidence, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 
 SQL = {
     "p6_found": r"""

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quarrycast.llm import matching
 from tests.conftest import rows
 
@@ -59,3 +61,45 @@ def test_names():
     assert matching.parse_name("Zuvro Ri F.", g)[3:5] == ("zuvrori", "f")
     assert matching.parse_name("getzuvro.example", g)[0] == "zuvro"
     assert matching.parse_name(" ", g) == (None,) * 6
+
+
+def test_tests_come_before_uniqueness(spark):
+    """A company that an edit too many or a contradiction rules out stands in nobody's way."""
+    companies = spark.createDataFrame([(1, "Kavoru", None, None, None), (2, "Zkavoru", None, None, None), (3, "Twin", None, "HQ Pune", None), (4, "Twin", None, "mining; HQ Oslo", None), (5, "Twice", None, "mining; HQ Oslo", None), (6, "Twice", None, "HQ Pune", None)], COMPANY)
+    items = spark.createDataFrame([(1, "Kavoruq", None, None, None), (2, "Twin", "fintech startup Twin raises $1 Mn", None, None), (3, "Twin", "Twin raises", None, None), (4, "Twice", "Pune-based mining startup Twice raises", None, None)], ITEM)
+    out = matching.match(items, companies)
+    assert rows(out, "id", "company_id") == [(1, 1), (2, 3), (4, 6)]
+    assert {r.confidence for r in out.collect()} == {0.5}, "no label says anything of these rules"
+
+
+def _apart(a, b):
+    """One letter put in, left out, replaced or two neighbours exchanged, by brute force."""
+    if a == b:
+        return True
+    letters = set(a + b)
+    near = {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + x + a[i + k :] for i in range(len(a) + 1) for x in letters for k in (0, 1)} | {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
+    return b in near
+
+
+def test_one_edit_in_names_of_any_length(spark):
+    """Pairs that share a key and pass the test are those one edit apart, around the length where keys change too."""
+    rng = random.Random(2)
+    data, want = [], {}
+    for k, n in enumerate([6, 7, 12, 40, 79, 80, 81, 82, 83, 150] * 8):
+        a = "".join(rng.choice("abc") for _ in range(n))
+        i = rng.randrange(n - 1)
+        b = rng.choice([a, a[:i] + a[i + 1 :], a[:i] + "x" + a[i:], a[:i] + "x" + a[i + 1 :], a[:i] + a[i + 1] + a[i] + a[i + 2 :], a[: i // 2] + "x" + a[i // 2 : i] + "y" + a[i:], a[::-1]])
+        data.append((k, a, b))
+        want[k] = len(a) >= 6 and len(b) >= 6 and _apart(a, b)
+    df = spark.createDataFrame(data, "k int, a string, b string")
+    met = F.coalesce(F.arrays_overlap(matching._variants(F.col("a")), matching._variants(F.col("b"))), F.lit(False))
+    got = {r.k: r.met and r.near for r in df.select("k", met.alias("met"), matching._one_edit(F.col("a"), F.col("b")).alias("near")).collect()}
+    assert got == want and 20 < sum(want.values()) < 70
+
+
+def test_plan_is_short(spark, data):
+    """The cascade is a few joins, whatever the number of its rules."""
+    from quarrycast.llm import queries
+
+    plan = queries.p3_found(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 15
