@@ -22,12 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrycast.runtime import ship
+from quarrycast.runtime import ship, small_enough
 
 LARGE = 2_000  #: messages of a thread above which its patterns are spread over blocks
 BLOCK = 20_000  #: patterns of one automaton of such a thread, and messages that one task scans against it
 LEAST = 32  #: words of repeated sentences in a row that count as a quote without any mark
 PATTERN = 64  #: words of the longest pattern
+HINTED = 100_000  #: large threads whose names may be broadcast
 LINES_KEPT = 100_000  #: lines whose features a worker remembers
 
 # --- fixed values: wordings of mail programs and of closings ------------------------------------------------
@@ -483,6 +484,7 @@ def written_lines(df: DataFrame, large: int = LARGE, block: int = BLOCK) -> Data
     kept = df.where(F.col("gmail_id").isNotNull()).withColumn("thread", own)
     rows = kept.where(F.col("body").rlike(r"\S")).select("thread", at.isNull().alias("unknown"), F.coalesce(at, F.lit(0)).alias("at"), "gmail_id", F.coalesce("from_addr", F.lit("")).alias("from_addr"), "body", received.isNotNull().alias("known"))
     counts = kept.groupBy("thread").agg(F.count("*").alias("n")).where(F.col("n") > large).select("thread")
+    counts = small_enough(counts, HINTED)
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
     # a message stored twice has its earliest time; inside a thread, so that bodies are shuffled once
     small = rows.join(counts, "thread", "left_anti").repartition(n, "thread").sortWithinPartitions("thread").mapInPandas(_small, RESULT)
