@@ -62,7 +62,7 @@ from pyspark.sql import functions as F
 from quarrycast.operators.snapshots import with_bare
 spark = local_session("away", 1, "1g")
 ship(spark)
-assert spark.createDataFrame([("e\\u0301 x",)], "t string").transform(lambda df: with_bare(df, {"t": F.col("t")})).first().t == "\\u00e9x"
+assert spark.createDataFrame([("e\\u0301 x",)], "t string").transform(lambda df: with_bare(df, {{"t": F.col("t")}})).first().t == "\\u00e9x"
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
