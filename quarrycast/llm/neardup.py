@@ -8,8 +8,10 @@ again, on `branch` coordinates. A pair of similarity s meets at a root with prob
 with s(1 - (1 - s q)^branch) where q is the same one level deeper, so that at s = 0.7 and two branches no
 fewer than 0.57 of the pairs survive any depth; independent trees raise that to the target recall.
 Nodes that are still large at the last level, and those that branching hardly thins out (clusters of texts
-that are all alike), are compared in full too, split into blocks of pairs over tasks. Candidates whose sketches are too far apart are dropped (4 standard deviations below the threshold),
-the rest is verified on the sets, so precision is 1.
+that are all alike), are compared in full too, split into blocks of pairs over tasks. Candidates whose sketches are too far
+apart are dropped (4 standard deviations below the threshold), the rest is verified on the sets, so precision is 1.
+Only node, id, size and sketch of a member pass through the forest; the sets are made again from the texts of the
+candidates alone, and never stored for all texts.
 """
 
 from __future__ import annotations
@@ -25,36 +27,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrycast.llm.words import Shingler, mix, words
-from quarrycast.runtime import cut
+from quarrycast.runtime import cut, ship
 
 COORDINATES = 64  #: minhash values of a text that nodes choose from
-BITS = 256  #: one-bit minhashes in a sketch
+BITS = 64  #: one-bit minhashes in a sketch
 SIGMAS = 4.0  #: standard deviations of the sketch distance that a true pair may be off
 BLOCK = 2_000  #: members of a part, of which two at a time are compared in a node that isn't branched any more
 DENSE = 0.8  #: a node with at least this share of its parent's members is one that branching can't thin out
 
 
 def trees_for(threshold: float, recall: float, branch: int) -> int:
-    """Trees after which a pair at the threshold is met with probability recall, however deep its nodes are."""
+    """Trees after which a pair at the threshold is met with probability recall, however deep its nodes are.
+
+    An error where there are more than coordinates to start them from.
+    """
     q = 1.0
     for _ in range(200):
         q = 1 - (1 - threshold * q) ** branch
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold * q)))
+    met = threshold * q
+    needed = max(1, math.ceil(math.log(1 - recall) / math.log(1 - met))) if 0 < met < 1 else 1 if met >= 1 else COORDINATES + 1
+    if needed > COORDINATES:
+        raise ValueError(f"a recall of {recall} at the threshold {threshold} needs more trees than the {COORDINATES} coordinates allow; use more branches, or a higher threshold")
+    return needed
 
 
-def sketches(df: DataFrame, key: str, texts: list[str], n: int) -> DataFrame:
-    """(id, class, size, grams, hashes, s0..s3) of each row whose words make at least one n-gram.
+def _texts(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("id"), F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts]).alias("t"))
 
-    class is a digest of the set; grams are its sorted 64-bit hashes.
-    """
-    rows = df.select(F.col(key).cast("long").alias("id"), F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts]).alias("t"))
-    schema = "id bigint, class binary, size int, grams array<bigint>, hashes array<int>, " + ", ".join(f"s{i} bigint" for i in range(BITS // 64))
+
+def sketches(df: DataFrame, key: str, texts: list[str], n: int) -> DataFrame:
+    """(id, class, size, hashes, sketch) of each row whose words make at least one n-gram; class is a digest of the set."""
+    schema = "id bigint, class binary, size int, hashes array<int>, sketch bigint"
     seeds = mix(np.arange(1, COORDINATES + BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for batch in batches:
-            at, digest, sizes, flat, ends, hashes, bits = [], [], [], [], [0], [], []
+            at, digest, sizes, hashes, bits = [], [], [], [], []
             for i, t in enumerate(batch.column("t").to_pylist()):
                 g = shingle(words(t))
                 if not len(g):
@@ -62,28 +71,30 @@ def sketches(df: DataFrame, key: str, texts: list[str], n: int) -> DataFrame:
                 at.append(i)
                 digest.append(hashlib.md5(g.tobytes()).digest())
                 sizes.append(len(g))
-                flat.append(g.view(np.int64))
-                ends.append(ends[-1] + len(g))
                 least = _least(g, seeds)
                 hashes.append((least[:COORDINATES] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                bits.append(np.packbits((least[COORDINATES:] & np.uint64(1)).astype(np.uint8)).view(np.int64))
+                bits.append(np.packbits((least[COORDINATES:] & np.uint64(1)).astype(np.uint8)).view(np.int64)[0])
             if not at:
                 continue
             h = np.concatenate(hashes)
-            b = np.stack(bits)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").take(pa.array(at)),
-                    pa.array(digest, pa.binary()),
-                    pa.array(sizes, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(h) + 1, COORDINATES), pa.int32()), pa.array(h)),
-                    *(pa.array(np.ascontiguousarray(b[:, k])) for k in range(BITS // 64)),
-                ],
-                ["id", "class", "size", "grams", "hashes", *(f"s{k}" for k in range(BITS // 64))],
-            )
-
-    return rows.mapInArrow(run, schema)
+            ends = pa.array(np.arange(0, len(h) + 1, COORDINATES), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(digest, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(h)), pa.array(np.array(bits, np.int64))], ["id", "class", "size", "hashes", "sketch"])
+
+    return _texts(df, key, texts).mapInArrow(run, schema)
+
+
+def _sets(rows: DataFrame, n: int) -> DataFrame:
+    """(id, grams), the sorted hashes of the n-grams of each row of (id, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n)
+        for batch in batches:
+            grams = [shingle(words(t)).view(np.int64) for t in batch.column("t").to_pylist()]
+            ends = np.cumsum([0, *map(len, grams)])
+            flat = np.concatenate(grams) if grams else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "grams"])
+
+    return rows.mapInArrow(run, "id bigint, grams array<bigint>")
 
 
 def _least(grams: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -106,9 +117,9 @@ def _branches(node: Column, hashes: Column, level: int, how_many: int) -> Column
 
 
 def _forest(reps: DataFrame, trees: int, branch: int, leaf: int, levels: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Members (node, id, size, s0..) of all leaves by level, and (with n, the node's members) of nodes to compare in blocks."""
-    keep = ["id", "size", *(f"s{k}" for k in range(BITS // 64))]
-    # roots: every tree has its own coordinate (the trees' number is far below COORDINATES)
+    """Members (node, id, size, sketch) of all leaves by level, and (with n, the node's members) of nodes to compare in blocks."""
+    keep = ["id", "size", "sketch"]
+    # roots: every tree has its own coordinate
     roots = F.array(*[F.xxhash64(F.lit(k), F.element_at("hashes", k + 1)) for k in range(trees)])
     members = reps.select(F.explode(roots).alias("node"), F.lit(None).cast("bigint").alias("parent"), *keep)
     leaves, blocked = [], []
@@ -123,7 +134,7 @@ def _forest(reps: DataFrame, trees: int, branch: int, leaf: int, levels: int) ->
         if level == levels or thin.isEmpty():
             break
         # only members of nodes that branch need their minhash values again
-        thin = thin.join(reps.select("id", "hashes"), "id")
+        thin = thin.join(reps.select("id", "hashes").hint("merge"), "id")  # never broadcast, whatever its size
         members = thin.select(F.explode(_branches(F.col("node"), F.col("hashes"), level, branch)).alias("node"), F.col("n").alias("parent"), *keep)
     return leaves, blocked
 
@@ -142,7 +153,7 @@ def _near(a: str, b: str, threshold: float) -> Column:
     """The sketches and the sizes of a and b allow for the threshold."""
     agree = (1 + threshold) / 2
     most = int(BITS * (1 - agree) + SIGMAS * math.sqrt(BITS * agree * (1 - agree)))
-    apart = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(BITS // 64)), F.lit(0))
+    apart = F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch")))
     sizes = F.least(f"{a}.size", f"{b}.size") >= F.lit(threshold - 1e-9) * F.greatest(f"{a}.size", f"{b}.size")
     return sizes & (apart <= most)
 
@@ -154,22 +165,28 @@ def class_pairs(df: DataFrame, key: str, texts: list[str], threshold: float = 0.
     similarity (Jaccard) threshold or more. Rows whose words make no n-gram, null texts among them, and rows
     with a null key are in no class. Repeated rows count once. Empty tables give empty results.
     """
-    base = cut(sketches(df.where(F.col(key).isNotNull()), key, texts, n))
-    members = base.select("id", "class").distinct().groupBy("class").agg(F.min("id").alias("rep"))
-    members = cut(base.select("id", "class").distinct().join(members, "class").select("id", "rep"))
-    reps = base.join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"])
+    ship(df.sparkSession)
     trees = trees_for(threshold, recall, branch)
-    leaves, blocked = _forest(reps.drop("class", "grams"), min(trees, COORDINATES), branch, leaf, levels)
+    rows = df.where(F.col(key).isNotNull())
+    base = cut(sketches(rows, key, texts, n))
+    pure = base.groupBy("class", "id").agg(F.first(F.struct("size", "hashes", "sketch")).alias("s"))
+    firsts = base.groupBy("class").agg(F.min("id").alias("rep"))
+    members = cut(base.select("id", "class").distinct().join(firsts.hint("merge"), "class").select("id", "rep", "class"))
+    reps = cut(pure.join(members.where("id = rep").select("class", "id").hint("merge"), ["class", "id"], "left_semi").select("id", "s.*"))
+    leaves, blocked = _forest(reps, trees, branch, leaf, levels)
     # nodes of different levels have different hashes, so all leaves are joined at once
     small = reduce(DataFrame.unionByName, leaves)
     near = small.alias("a").join(small.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.id") < F.col("b.id")) & _near("a", "b", threshold)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     pairs = cut(near.unionByName(_block_pairs(reduce(DataFrame.unionByName, blocked), threshold)).distinct())
-    sets = base.select("id", "grams")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")).dropDuplicates(["a"]), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")).dropDuplicates(["b"]), "b")
+    # the sets of candidates only; repeated rows of an id have one text each, by its class
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = _sets(_texts(rows, key, texts).join(wanted, "id", "left_semi"), n).groupBy("id").agg(F.first("grams").alias("grams"))
+    sets = cut(sets)
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     both = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s")).withColumn("similarity", F.col("c") / (F.col("s") - F.col("c")))
-    return members, both.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return members.select("id", "rep"), both.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
 def all_pairs(df: DataFrame, key: str, texts: list[str], **kw) -> DataFrame:

@@ -59,3 +59,21 @@ def test_defined_cases(spark):
 
 def test_trees():
     assert neardup.trees_for(0.7, 0.999, 2) == 9 and neardup.trees_for(0.9, 0.99, 2) < 4
+
+
+def test_a_recall_out_of_reach_is_an_error():
+    """No silent cap on trees: what can't be had is refused, and more branches widen what can."""
+    import pytest
+
+    assert neardup.trees_for(0.6, 0.999, 3) <= neardup.COORDINATES and neardup.trees_for(1.0, 0.999, 2) == 1
+    for threshold in (0.5, 0.3, 0.2, 0.0):
+        with pytest.raises(ValueError):
+            neardup.trees_for(threshold, 0.999, 2)
+
+
+def test_recall_at_the_lowest_threshold_that_is_accepted(spark):
+    docs = corpus(random.Random(9), 250)
+    df = spark.createDataFrame(docs, "id long, text string")
+    got = rows(neardup.all_pairs(df, "id", ["text"], threshold=0.55, n=3, leaf=4, branch=3))
+    want = brute(docs, 0.55, 3)
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) > 50
