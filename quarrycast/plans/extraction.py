@@ -211,29 +211,39 @@ def _xml(x):
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
 
 
-@q("S5_feed_rss", "SELECT DISTINCT trim(headline) AS headline, trim(url) AS url, source FROM feed_items WHERE source = 'seedline' AND trim(headline) <> '' AND trim(url) <> ''")
+#: the sources of feed_items, each read as a feed of its own
+FEEDS = ["coastline_vc", "deccan_ledger", "harbour_capital", "prairie_wire", "roundtrack", "rundschau_gruender", "seedline", "straits_founder"]
+
+
+def _each_feed(spark, d, body, config):
+    """(headline, url, source) of all rows, each source's written as a body and read with the source's config."""
+    out = None
+    for name in FEEDS:
+        f = table(spark, d, "feed_items", "headline", "url", "published_at", "source").where(F.col("source") == name)
+        one = feeds.read(f.select(body.alias("body")), config(name)).select("headline", "url", "source")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+@q("S5_feed_rss", "SELECT DISTINCT trim(headline) AS headline, trim(url) AS url, source FROM feed_items WHERE trim(headline) <> '' AND trim(url) <> '' AND source IS NOT NULL")
 def _s5(spark, d):
-    f = table(spark, d, "feed_items", "headline", "url", "published_at", "source").where("source = 'seedline'")
     body = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:x="urn:x"><channel><title>feed</title><item><title><![CDATA['), F.col("headline"), F.lit("]]></title><x:link>"), _xml(F.col("url")), F.lit("</x:link><pubDate>"), _xml(F.coalesce("published_at", F.lit(""))), F.lit("</pubDate></item></channel></rss>"))
-    return feeds.read(f.select(body.alias("body")), feeds.FeedConfig("seedline")).select("headline", "url", "source").distinct()
+    return _each_feed(spark, d, body, feeds.FeedConfig)
 
 
-@q("S6_embedded_json", "SELECT DISTINCT trim(headline) AS headline, url FROM feed_items WHERE source = 'prairie_wire' AND headline <> ''")
+@q("S6_embedded_json", "SELECT DISTINCT trim(headline) AS headline, url, source FROM feed_items WHERE trim(headline) <> '' AND source IS NOT NULL")
 def _s6(spark, d):
-    f = table(spark, d, "feed_items", "headline", "url", "source").where("source = 'prairie_wire'")
-    blob = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("headline").alias("title"), F.regexp_extract("url", "^https?://[^/]+(/.*)$", 1).alias("slug"), F.regexp_extract("url", "^https?://[^/]+", 0).alias("site"))).alias("rows")).alias("data")))
+    """Links relative to the source's host, which the config knows."""
+    blob = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("headline").alias("title"), F.regexp_extract("url", "^https?://[^/]+(/.*)$", 1).alias("slug"))).alias("rows")).alias("data")))
     body = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), blob, F.lit("</script></html>"))
-    config = feeds.FeedConfig("prairie_wire", "json_path", json_path="data.rows", link_prefix="https://prairie-wire.example")
-    return feeds.read(f.select(body.alias("body")), config).select("headline", "url").distinct()
+    return _each_feed(spark, d, body, lambda name: feeds.FeedConfig(name, "json_path", json_path="data.rows", link_prefix=f"https://{name.replace('_', '-')}.example"))
 
 
-@q("S7_S8_css_listing", "SELECT DISTINCT trim(headline) AS headline, url FROM feed_items WHERE source = 'coastline_vc' AND trim(headline) <> ''")
+@q("S7_S8_css_listing", "SELECT DISTINCT trim(headline) AS headline, url, source FROM feed_items WHERE trim(headline) <> '' AND source IS NOT NULL")
 def _s7(spark, d):
     """Pages without the embedded JSON that the source's mode wants, so that its selectors are the fallback."""
-    f = table(spark, d, "feed_items", "headline", "url", "source").where("source = 'coastline_vc'")
     body = F.concat(F.lit('<ul><li class="card big"><h2><a href="'), _xml(F.col("url")), F.lit('"><span>'), _xml(F.col("headline")), F.lit('</span></a></h2><br></li><li class="ad"><a href="/ad">ad</a></li></ul>'))
-    config = feeds.FeedConfig("coastline_vc", "json_path", json_path="data.rows", selectors={"item": "li.card", "link": "h2 a", "title": "h2 a"})
-    return feeds.read(f.select(body.alias("body")), config).select("headline", "url").distinct()
+    return _each_feed(spark, d, body, lambda name: feeds.FeedConfig(name, "json_path", json_path="data.rows", selectors={"item": "li.card", "link": "h2 a", "title": "h2 a"}))
 
 
 @q("S10_transport", "SELECT id, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'HTTP 404' WHEN 2 THEN 'expected a JSON array of postings' WHEN 3 THEN 'expected a JSON array of postings' ELSE NULL END AS problem, id % 5 = 0 AS not_modified FROM companies")
