@@ -187,6 +187,31 @@ def test_diagnosis_against_a_loop(spark):
     assert {(r.target, r.id): r.reason for r in health.poll_reasons(df, ["target"], "id").collect()} == history
 
 
+def test_a_target_with_most_polls(spark):
+    """One target has nine tenths of the polls: its history is spread over ranges, and is that of a loop."""
+    from quarrycast.streaming.ingest import diagnose
+
+    rng = random.Random(5)
+    data, want, trail, open_ = [], [], {}, {}
+    for i in range(3_000):
+        t = None if rng.random() < 0.02 else 0 if rng.random() < 0.9 else rng.randint(1, 4)
+        k = rng.choice("f" * 3 + "u" * 2 + "ep") if i // 40 % 2 else rng.choice("eeeeeup")
+        data.append((t, i, k != "f", {"f": 500, "u": 304}.get(k, 200), {"e": 0, "p": 4}.get(k)))
+        trail[t] = (k + trail.get(t, ""))[:30]
+        reason = diagnose(trail[t])
+        if reason and t not in open_:
+            open_[t] = len(want)
+            want.append((t, i, reason, None))
+        elif not reason and t in open_:
+            n = open_.pop(t)
+            want[n] = (*want[n][:3], i)
+    df = spark.createDataFrame(data, "target int, id int, ok boolean, status int, item_count int")
+    got = {tuple(r) for r in health.alerts(df, ["target"], "id").select("target", "raised_at", "reason", "resolved_at").collect()}
+    assert got == set(want) and len(want) > 30
+    ranges = health._ranges(df, ["target"], "id").where("target = 0").groupBy("q__range").count().collect()
+    assert len(ranges) >= 8 and max(r["count"] for r in ranges) < 800
+
+
 def test_alerts(spark):
     data = [("t", i, k != "f", 500 if k == "f" else 200, None if k == "f" else 3) for i, k in enumerate("pfffffppffff")]
     df = spark.createDataFrame(data, "target string, id int, ok boolean, status int, item_count int")
