@@ -30,7 +30,8 @@ from quarrycast.llm.words import Shingler, mix, words
 from quarrycast.runtime import cut, ship
 
 COORDINATES = 64  #: minhash values of a text that nodes choose from
-BITS = 64  #: one-bit minhashes in a sketch
+BITS = 256  #: one-bit minhashes in a sketch
+SKETCH = [f"s{k}" for k in range(BITS // 64)]  #: its columns
 SIGMAS = 4.0  #: standard deviations of the sketch distance that a true pair may be off
 BLOCK = 2_000  #: members of a part, of which two at a time are compared in a node that isn't branched any more
 DENSE = 0.8  #: a node with at least this share of its parent's members is one that branching can't thin out
@@ -56,8 +57,8 @@ def _texts(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
 
 
 def sketches(df: DataFrame, key: str, texts: list[str], n: int) -> DataFrame:
-    """(id, class, size, hashes, sketch) of each row whose words make at least one n-gram; class is a digest of the set."""
-    schema = "id bigint, class binary, size int, hashes array<int>, sketch bigint"
+    """(id, class, size, hashes, s0..) of each row whose words make at least one n-gram; class is a digest of the set."""
+    schema = "id bigint, class binary, size int, hashes array<int>, " + ", ".join(f"{c} bigint" for c in SKETCH)
     seeds = mix(np.arange(1, COORDINATES + BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,12 +74,12 @@ def sketches(df: DataFrame, key: str, texts: list[str], n: int) -> DataFrame:
                 sizes.append(len(g))
                 least = _least(g, seeds)
                 hashes.append((least[:COORDINATES] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                bits.append(np.packbits((least[COORDINATES:] & np.uint64(1)).astype(np.uint8)).view(np.int64)[0])
+                bits.append(np.packbits((least[COORDINATES:] & np.uint64(1)).astype(np.uint8)).view(np.int64))
             if not at:
                 continue
             h = np.concatenate(hashes)
             ends = pa.array(np.arange(0, len(h) + 1, COORDINATES), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(digest, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(h)), pa.array(np.array(bits, np.int64))], ["id", "class", "size", "hashes", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(digest, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(h)), *map(pa.array, np.ascontiguousarray(np.stack(bits).T))], ["id", "class", "size", "hashes", *SKETCH])
 
     return _texts(df, key, texts).mapInArrow(run, schema)
 
@@ -117,8 +118,8 @@ def _branches(node: Column, hashes: Column, level: int, how_many: int) -> Column
 
 
 def _forest(reps: DataFrame, trees: int, branch: int, leaf: int, levels: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Members (node, id, size, sketch) of all leaves by level, and (with n, the node's members) of nodes to compare in blocks."""
-    keep = ["id", "size", "sketch"]
+    """Members (node, id, size, s0..) of all leaves by level, and (with n, the node's members) of nodes to compare in blocks."""
+    keep = ["id", "size", *SKETCH]
     # roots: every tree has its own coordinate
     roots = F.array(*[F.xxhash64(F.lit(k), F.element_at("hashes", k + 1)) for k in range(trees)])
     members = reps.select(F.explode(roots).alias("node"), F.lit(None).cast("bigint").alias("parent"), *keep)
@@ -153,7 +154,7 @@ def _near(a: str, b: str, threshold: float) -> Column:
     """The sketches and the sizes of a and b allow for the threshold."""
     agree = (1 + threshold) / 2
     most = int(BITS * (1 - agree) + SIGMAS * math.sqrt(BITS * agree * (1 - agree)))
-    apart = F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch")))
+    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH), F.lit(0))
     sizes = F.least(f"{a}.size", f"{b}.size") >= F.lit(threshold - 1e-9) * F.greatest(f"{a}.size", f"{b}.size")
     return sizes & (apart <= most)
 
@@ -169,7 +170,7 @@ def class_pairs(df: DataFrame, key: str, texts: list[str], threshold: float = 0.
     trees = trees_for(threshold, recall, branch)
     rows = df.where(F.col(key).isNotNull())
     base = cut(sketches(rows, key, texts, n))
-    pure = base.groupBy("class", "id").agg(F.first(F.struct("size", "hashes", "sketch")).alias("s"))
+    pure = base.groupBy("class", "id").agg(F.first(F.struct("size", "hashes", *SKETCH)).alias("s"))
     firsts = base.groupBy("class").agg(F.min("id").alias("rep"))
     members = cut(base.select("id", "class").distinct().join(firsts.hint("merge"), "class").select("id", "rep", "class"))
     reps = cut(pure.join(members.where("id = rep").select("class", "id").hint("merge"), ["class", "id"], "left_semi").select("id", "s.*"))
