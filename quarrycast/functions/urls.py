@@ -38,10 +38,16 @@ def company_from_url(url: Column) -> Column:
     part = F.get(F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda p: p != ""), F.lit(0))
     labels = F.split(h, r"\.")
     label = F.when(labels[0].isin(SKIPPED_LABELS) & (F.size(labels) > 1), F.get(labels, F.lit(1))).otherwise(labels[0])
-    named = F.when(h.isin(PATH_HOSTS) & part.isNotNull(), F.initcap(F.translate(part, "-_", "  "))).otherwise(F.initcap(F.translate(label, "-", " ")))
+    named = F.when(h.isin(PATH_HOSTS) & part.isNotNull(), _title(F.translate(part, "-_", "  "))).otherwise(_title(F.translate(label, "-", " ")))
     return F.coalesce(empty_to_null(named), F.lit("Unknown"))
 
 
+def _title(text: Column) -> Column:
+    """text in lower case but for the first letter of each run of letters and digits, apostrophes within counted in."""
+    pieces = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}\p{M}_'’]+|[^\p{L}\p{N}\p{M}_'’]+"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
+
+
 def domain_from_url(url: Column) -> Column:
     """The host, or '' where many companies share it."""
     h = F.coalesce(host(url), F.lit(""))

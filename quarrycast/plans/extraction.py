@@ -163,7 +163,7 @@ REAL = lambda: F.regexp_replace("url", r"^https://boards\.example/(\w+)/", "http
 REAL_SQL = r"regexp_replace(url, '^https://boards\.example/(\w+)/', 'https://jobs.\1.co/')"
 simple("S17_board_of", "jobs", "id", "url", lambda: F.concat_ws("/", urls.board_of(F.concat(F.lit("see https://jobs.lever.co/jobs and "), REAL()))["ats"], urls.board_of(F.concat(F.lit("see https://jobs.lever.co/jobs and "), REAL()))["slug"]), rf"CASE WHEN regexp_matches({REAL_SQL}, '^https://jobs\.lever\.co/') THEN 'lever/' || trim(regexp_extract({REAL_SQL}, 'jobs\.lever\.co/([A-Za-z0-9_.-]+)', 1), '/.') ELSE '' END")
 simple("U1_domain_from_url", "jobs", "id", "url", lambda: urls.domain_from_url(REAL()), rf"CASE WHEN regexp_matches({REAL_SQL}, '^https://jobs\.lever\.co/') THEN '' ELSE regexp_replace(lower(regexp_extract({REAL_SQL}, '^[a-z]+://([^/?#:]+)', 1)), '^www\.', '') END")
-simple("U1_company_from_url", "jobs", "id", "url", lambda: urls.company_from_url(F.concat(F.lit("https://jobs.lever.co/acme-rockets/"), c("id").cast("string"))), "'Acme Rockets'")
+simple("U1_company_from_url", "companies", "id", "domain", lambda: urls.company_from_url(F.concat(F.lit("https://jobs."), F.regexp_replace(F.lower(F.trim("domain")), r"^(https?://)?(www\.)?", ""))), r"CASE WHEN domain IS NULL THEN 'Unknown' ELSE coalesce(nullif(array_to_string(list_transform(string_split(split_part(split_part(regexp_replace(lower(trim(domain)), '^(https?://)?(www\.)?', ''), '/', 1), '.', 1), '-'), lambda w: upper(w[1]) || w[2:]), ' '), ''), 'Unknown') END")
 simple("U2_absolute", "feed_items", "item_id", "url", lambda: urls.absolute(c("url"), F.lit("/next?p=2")), r"regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/next?p=2'", distinct=True)
 simple("U3_sheet_id", "companies", "id", "slug", lambda: urls.sheet_id(F.when(c("id") % 2 == 0, F.concat(F.lit("https://docs.example/spreadsheets/d/"), c("slug"), F.lit("/edit#gid=0"))).otherwise(F.concat(F.lit(" "), c("slug")))), "slug")
 

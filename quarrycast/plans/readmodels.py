@@ -267,17 +267,18 @@ def _k6(spark, d):
 
 # --- joins over derived relations: applications from orders, contacts from customer, outreach from events ---------
 
-APPLICATION = "a AS (SELECT o_orderkey AS id, 1 + o_orderkey % 150 AS job_id, CASE o_orderstatus WHEN 'F' THEN 'rejected' WHEN 'O' THEN 'applied' ELSE 'in_process' END AS status, CAST(o_orderdate AS DATE) AS applied_at FROM orders)"
-CONTACT = "t AS (SELECT c_custkey AS id, 1 + c_custkey % 150 AS company_id, c_name AS name, c_mktsegment AS title FROM customer)"
+APPLICATION = "a AS (SELECT o_orderkey AS id, 1 + o_orderkey % (SELECT max(id) FROM jobs) AS job_id, CASE o_orderstatus WHEN 'F' THEN 'rejected' WHEN 'O' THEN 'applied' ELSE 'in_process' END AS status, CAST(o_orderdate AS DATE) AS applied_at, CASE WHEN o_orderstatus = 'O' THEN CAST(o_orderdate AS DATE) + 7 END AS followup_due, o_orderpriority AS notes FROM orders)"
+CONTACT = "t AS (SELECT c_custkey AS id, 1 + c_custkey % (SELECT max(id) FROM companies) AS company_id, c_name AS name, c_mktsegment AS title FROM customer)"
 
 
 def applications(spark, d):
-    o = table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderdate")
-    return o.select(F.col("o_orderkey").alias("id"), (1 + F.col("o_orderkey") % 150).alias("job_id"), F.when(F.col("o_orderstatus") == "F", "rejected").when(F.col("o_orderstatus") == "O", "applied").otherwise("in_process").alias("status"), F.col("o_orderdate").cast("date").alias("applied_at"))
+    o = table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    jobs, day = table(spark, d, "jobs", "id").agg(F.max("id")).scalar(), F.col("o_orderdate").cast("date")
+    return o.select(F.col("o_orderkey").alias("id"), (1 + F.col("o_orderkey") % jobs).alias("job_id"), F.when(F.col("o_orderstatus") == "F", "rejected").when(F.col("o_orderstatus") == "O", "applied").otherwise("in_process").alias("status"), day.alias("applied_at"), F.when(F.col("o_orderstatus") == "O", F.date_add(day, 7)).alias("followup_due"), F.col("o_orderpriority").alias("notes"))
 
 
 def contacts(spark, d):
-    return table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment").select(F.col("c_custkey").alias("id"), (1 + F.col("c_custkey") % 150).alias("company_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("title"))
+    return table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment").select(F.col("c_custkey").alias("id"), (1 + F.col("c_custkey") % table(spark, d, "companies", "id").agg(F.max("id")).scalar()).alias("company_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("title"))
 
 
 def applied(spark, d):
@@ -325,15 +326,25 @@ def _p4(spark, d):
     return applications(spark, d).select("id", F.datediff(F.lit("2026-10-15").cast("date"), "applied_at").cast("bigint").alias("days"))
 
 
-@q("RM1_applications_sheet", f"WITH {APPLICATION}, {CONTACT}, n AS (SELECT company_id, count(*) AS n FROM t GROUP BY 1) SELECT a.id, c.name AS company, j.title AS role, a.status, CAST(a.applied_at AS VARCHAR) AS applied_at, date_diff('day', a.applied_at, DATE '2026-10-15') AS days, coalesce(n.n, 0) AS contacts FROM a JOIN jobs j ON j.id = a.job_id JOIN companies c ON c.id = j.company_id LEFT JOIN n ON n.company_id = c.id")
+@q(
+    "RM1_applications_sheet",
+    f"""WITH {APPLICATION}, {CONTACT}, n AS (SELECT company_id, count(*) AS n FROM t GROUP BY 1)
+SELECT a.id AS app_id, j.id AS job_id, c.name AS company, j.title, a.status, CAST(a.applied_at AS VARCHAR) AS applied_at, CAST(a.followup_due AS VARCHAR) AS followup_due, date_diff('day', a.applied_at, DATE '2026-10-15') AS days_since_applied,
+  j.source, j.comp_model, j.pay_min, j.pay_max, j.pay_currency AS currency, j.auth_required, coalesce(n.n, 0) AS contacts, j.url, a.notes
+FROM a JOIN jobs j ON j.id = a.job_id JOIN companies c ON c.id = j.company_id LEFT JOIN n ON n.company_id = c.id""",
+)
 def _rm1(spark, d):
+    """All columns of the sheet; the rows' order, by follow-up, is that of whoever writes it."""
     n = contacts(spark, d).groupBy("company_id").agg(F.count("*").alias("contacts"))
-    out = applied(spark, d).join(n, "company_id", "left")
-    return out.select("id", "company", "role", "status", F.col("applied_at").cast("string").alias("applied_at"), F.datediff(F.lit("2026-10-15").cast("date"), "applied_at").cast("bigint").alias("days"), F.coalesce("contacts", F.lit(0)).alias("contacts"))
+    j = table(spark, d, "jobs", "id", "company_id", "title", "source", "comp_model", "pay_min", "pay_max", "pay_currency", "auth_required", "url").withColumnRenamed("id", "job_id")
+    c = companies(spark, d).select(F.col("id").alias("company_id"), F.col("name").alias("company"))
+    out = applications(spark, d).join(j, "job_id").join(c, "company_id").join(n, "company_id", "left")
+    days = F.datediff(F.lit("2026-10-15").cast("date"), "applied_at").cast("bigint").alias("days_since_applied")
+    return out.select(F.col("id").alias("app_id"), "job_id", "company", "title", "status", F.col("applied_at").cast("string").alias("applied_at"), F.col("followup_due").cast("string").alias("followup_due"), days, "source", "comp_model", "pay_min", "pay_max", F.col("pay_currency").alias("currency"), "auth_required", F.coalesce("contacts", F.lit(0)).alias("contacts"), "url", "notes")
 
 
 # --- validity ------------------------------------------------------------------------------------------------------
-EMAILED = "t AS (SELECT c_custkey AS id, 1 + c_custkey % 150 AS company_id, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN 'a@' || lower(trim(k.domain)) WHEN 1 THEN 'a@mail.' || lower(trim(k.domain)) WHEN 2 THEN 'a@other.example' END AS email, lower(trim(k.domain)) AS domain, CASE WHEN c_custkey % 3 = 0 THEN 'inferred' ELSE 'published' END AS confidence FROM customer JOIN companies k ON k.id = 1 + c_custkey % 150)"
+EMAILED = "t AS (SELECT c_custkey AS id, 1 + c_custkey % (SELECT max(id) FROM companies) AS company_id, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN 'a@' || lower(trim(k.domain)) WHEN 1 THEN 'a@mail.' || lower(trim(k.domain)) WHEN 2 THEN 'a@other.example' END AS email, lower(trim(k.domain)) AS domain, CASE WHEN c_custkey % 3 = 0 THEN 'inferred' ELSE 'published' END AS confidence FROM customer JOIN companies k ON k.id = 1 + c_custkey % (SELECT max(id) FROM companies))"
 
 
 def emailed(spark, d):

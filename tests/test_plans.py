@@ -33,14 +33,17 @@ def test_top_k_and_pruned_scan(spark, data):
     assert "EqualTo(watchlist_enabled,1)" in text and "In(ats, [" in text
 
 
-def test_changes_shuffle_keys_once(spark, data):
-    """One exchange for the records, one for the failed polls; the join is a broadcast or two more."""
+def test_changes_shuffle_hashes_only(spark, data):
+    """One exchange for the sides of a key, combined before it, one for the keys, and no text in either."""
     from quarrycast.operators import snapshots
     from quarrycast.runtime import table
 
-    rows = table(spark, data, "job_snapshots", "snapshot_no", "source", "external_id", "title")
-    df = snapshots.changes(rows, [1, 2, 3], "snapshot_no", ["source"], "external_id", ["title"], [])
-    assert plan(df).count("Exchange hashpartitioning") == 1
+    rows = table(spark, data, "job_snapshots", "snapshot_no", "source", "external_id", "title", "jd_text")
+    df = snapshots.changes(rows, "snapshot_no", ["source"], "external_id", ["title", "jd_text"], ["jd_text"])
+    text = plan(df)
+    assert text.count("Exchange hashpartitioning") == 2
+    sides = text[: text.rindex("Exchange hashpartitioning")]
+    assert "title" not in sides and "jd_text" not in sides
 
 
 def test_poll_rank_is_cut_before_the_shuffle(spark, data):
