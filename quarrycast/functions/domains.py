@@ -6,9 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values ---------------------------------------------------------------------------------------------
-PUBLISHERS = """entrackr.com inc42.com vccircle.com yourstory.com moneycontrol.com economictimes.indiatimes.com indiatimes.com livemint.com business-standard.com techcrunch.com reuters.com bloomberg.com forbes.com medium.com twitter.com x.com facebook.com linkedin.com instagram.com youtube.com whatsapp.com t.me telegram.me threads.net reddit.com pinterest.com google.com gstatic.com googleapis.com doubleclick.net gravatar.com wordpress.com wp.com cloudflare.com amazonaws.com publive.online bit.ly tinyurl.com crunchbase.com tracxn.com wikipedia.org apple.com play.google.com sharechat.com koo.app""".split()
-STOPWORDS = "the and labs technologies technology systems solutions ventures capital group india global inc ltd pvt limited private company digital online app ai".split()
-LEGAL_ONLY = "inc ltd pvt limited private llp corp co".split()
+PUBLISHERS = [
+    "entrackr.com", "inc42.com", "vccircle.com", "yourstory.com", "moneycontrol.com", "economictimes.indiatimes.com",
+    "indiatimes.com", "livemint.com", "business-standard.com", "techcrunch.com", "reuters.com", "bloomberg.com", "forbes.com",
+    "medium.com", "twitter.com", "x.com", "facebook.com", "linkedin.com", "instagram.com", "youtube.com", "whatsapp.com", "t.me",
+    "telegram.me", "threads.net", "reddit.com", "pinterest.com", "google.com", "gstatic.com", "googleapis.com",
+    "doubleclick.net", "gravatar.com", "wordpress.com", "wp.com", "cloudflare.com", "amazonaws.com", "publive.online", "bit.ly",
+    "tinyurl.com", "crunchbase.com", "tracxn.com", "wikipedia.org", "apple.com", "play.google.com", "sharechat.com", "koo.app",
+]
+STOPWORDS = [
+    "the", "and", "labs", "technologies", "technology", "systems", "solutions", "ventures", "capital", "group", "india",
+    "global", "inc", "ltd", "pvt", "limited", "private", "company", "digital", "online", "app", "ai",
+]
+LEGAL_ONLY = ["inc", "ltd", "pvt", "limited", "private", "llp", "corp", "co"]
 TLDS = ["com", "in", "co", "io", "ai"]
 GUESS_PREFIXES = ["", "get", "try"]
 MAX_GUESSES = 7

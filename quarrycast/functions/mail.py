@@ -29,8 +29,15 @@ CONFIRMATION = [
     r"we(?:'ve| have)? got your application",
     r"successfully (?:applied|submitted your application)",
 ]
-PLATFORMS = "greenhouse.io greenhouse-mail.io us.greenhouse-mail.io hire.lever.co lever.co ashbyhq.com ashby.hq myworkday.com workday.com icims.com smartrecruiters.com successfactors.com taleo.net jobvite.com breezy.hr recruitee.com workable.com teamtailor.com hire.withgoogle.com".split()
-AUTOMATED = "no-reply noreply donotreply do-not-reply notifications notification mailer automated auto-reply bounce postmaster".split()
+PLATFORMS = [
+    "greenhouse.io", "greenhouse-mail.io", "us.greenhouse-mail.io", "hire.lever.co", "lever.co", "ashbyhq.com", "ashby.hq",
+    "myworkday.com", "workday.com", "icims.com", "smartrecruiters.com", "successfactors.com", "taleo.net", "jobvite.com",
+    "breezy.hr", "recruitee.com", "workable.com", "teamtailor.com", "hire.withgoogle.com",
+]
+AUTOMATED = [
+    "no-reply", "noreply", "donotreply", "do-not-reply", "notifications", "notification", "mailer", "automated", "auto-reply",
+    "bounce", "postmaster",
+]
 SUBJECT_COMPANY = [
     r"your application (?:to|at|for) ([A-Z0-9][\w&.' -]{1,40}?)(?:\s*[-–—|,:(]|$)",
     r"thank(?:s| you) for (?:applying|your interest) (?:to|at|in) ([A-Z0-9][\w&.' -]{1,40}?)(?:\s*[-–—|,:(]|$)",
@@ -40,7 +47,7 @@ SUBJECT_COMPANY = [
 ]
 SUBJECT_PREFIX = r"^(?:(?:re|fw|fwd):\s*)+"
 COMPANY_TAILS = [" inc", " inc.", " llc", " ltd", " limited", " corp", " corporation", " pvt", " pvt.", " private limited"]
-STOP_FIRST = "the our us your this a an join work be".split()
+STOP_FIRST = ["the", "our", "us", "your", "this", "a", "an", "join", "work", "be"]
 # ---------------------------------------------------------------------------------------------------------------
 
 

@@ -14,7 +14,12 @@ from quarrycast.functions.text import empty_to_null
 
 # --- fixed values ---------------------------------------------------------------------------------------------
 PATH_HOSTS = ["boards.greenhouse.io", "job-boards.greenhouse.io", "jobs.lever.co", "jobs.ashbyhq.com", "apply.workable.com", "careers.smartrecruiters.com"]
-SHARED_HOSTS = PATH_HOSTS + "boards-api.greenhouse.io api.lever.co api.ashbyhq.com jobs.workable.com www.linkedin.com linkedin.com wellfound.com remoteok.com himalayas.app weworkremotely.com jobicy.com arbeitnow.com remotive.com instahyre.com".split()
+SHARED_HOSTS = [
+    *PATH_HOSTS,
+    "boards-api.greenhouse.io", "api.lever.co", "api.ashbyhq.com", "jobs.workable.com", "www.linkedin.com", "linkedin.com",
+    "wellfound.com", "remoteok.com", "himalayas.app", "weworkremotely.com", "jobicy.com", "arbeitnow.com", "remotive.com",
+    "instahyre.com",
+]
 SKIPPED_LABELS = ["jobs", "careers", "boards", "apply", "job-boards", "hire"]
 BOARDS = [
     ("greenhouse", r"(?:boards|job-boards)\.greenhouse\.io/embed/job_board[^\"'\s<>]*?[?&]for=([A-Za-z0-9_.-]+)"),

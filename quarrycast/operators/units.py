@@ -69,8 +69,8 @@ PERIODS = {
     "day": ["p.d.", "p.d", "daily", "day rate", "taglich", "tagessatz", "tageslohn", "journalier", "journaliere", "journaliers"],
     "hour": ["p.h.", "p.h", "hourly", "stundlich", "stundenlohn", "stundensatz", "horaire", "horaires"],
 }
-NUMBER_WORDS = {w: n for n, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
-TENS = {w: 10 * n for n, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19}
+TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 #: Words between the numbers of a range.
 BETWEEN = ["-", "–", "—", "to", "and", "bis", "und", "a", "à", "et"]
 #: Words that make a sentence one on pay, in the same languages.
