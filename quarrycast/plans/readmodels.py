@@ -292,12 +292,6 @@ def _j2(spark, d):
     return applied(spark, d).where(~F.col("status").isin("rejected")).select("id", "company", "role", "status")
 
 
-@q("J3_RM3_contacts", f"WITH {CONTACT} SELECT c.name AS company, t.name, t.title FROM t JOIN companies c ON c.id = t.company_id")
-def _j3(spark, d):
-    c = companies(spark, d).select(F.col("id").alias("company_id"), F.col("name").alias("company"))
-    return contacts(spark, d).join(c, "company_id").select("company", "name", "title")
-
-
 @q("J4_open_at_company", f"WITH {APPLICATION} SELECT j.company_id, count(*) AS n, min(a.id) AS first_id FROM a JOIN jobs j ON j.id = a.job_id WHERE a.status <> 'rejected' GROUP BY 1")
 def _j4(spark, d):
     return applied(spark, d).where("status <> 'rejected'").groupBy("company_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
@@ -354,6 +348,22 @@ def emailed(spark, d):
     return contacts(spark, d).join(k, "company_id").withColumn("email", email).withColumn("confidence", F.when(F.col("id") % 3 == 0, "inferred").otherwise("published"))
 
 
+@q(
+    "J3_RM3_contacts",
+    f"""WITH {EMAILED} SELECT t.id, c.name AS company, t.name, k.c_mktsegment AS title, CASE WHEN t.email <> '' AND t.confidence = 'inferred' THEN '[UNVERIFIED: ' || t.email || ']' ELSE t.email END AS email,
+  t.confidence, CASE WHEN t.id % 5 = 0 THEN 'https://people.example/in/' || t.id END AS linkedin, CAST(k.c_nationkey AS VARCHAR) AS source
+FROM t JOIN companies c ON c.id = t.company_id JOIN customer k ON k.c_custkey = t.id""",
+)
+def _j3(spark, d):
+    """All columns of the contacts; an address that was guessed can't be pasted as it is."""
+    c = companies(spark, d).select(F.col("id").alias("company_id"), F.col("name").alias("company"))
+    k = table(spark, d, "customer", "c_custkey", "c_nationkey").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("source"))
+    guessed = (F.col("email") != "") & (F.col("confidence") == "inferred")
+    shown = F.when(guessed, F.concat(F.lit("[UNVERIFIED: "), "email", F.lit("]"))).otherwise(F.col("email"))
+    linkedin = F.when(F.col("id") % 5 == 0, F.concat(F.lit("https://people.example/in/"), F.col("id").cast("string")))
+    return emailed(spark, d).join(c, "company_id").join(k, "id").select("id", "company", "name", "title", shown.alias("email"), "confidence", linkedin.alias("linkedin"), "source")
+
+
 @q("F18_domain_guard", f"WITH {EMAILED}, g AS (SELECT *, split_part(email, '@', 2) AS h FROM t) SELECT id, CASE WHEN email IS NULL OR domain IS NULL OR h = domain OR ends_with(h, '.' || domain) OR ends_with(domain, '.' || h) THEN email END AS email, coalesce(NOT (email IS NULL OR domain IS NULL OR h = domain OR ends_with(h, '.' || domain) OR ends_with(domain, '.' || h)), false) AS blanked FROM g")
 def _f18(spark, d):
     h = F.substring_index("email", "@", -1)
