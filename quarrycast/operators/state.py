@@ -122,6 +122,32 @@ def lookup_company(df: DataFrame, companies: DataFrame, domain: str, name: str)
     return out.select(*df.columns, F.coalesce("q__by_domain", "q__by_name").alias("company_id"))
 
 
+def backfill(companies: DataFrame, items: DataFrame, domain: str, name: str, order: str) -> DataFrame:
+    """companies with a null domain filled from the first item, by order, that is theirs by name and has a domain which
+    leads to no company. One aggregation by company, combined before the shuffle."""
+    c = companies.select("id", F.lower(F.trim("domain")).alias("d"), F.lower("name").alias("n"))
+    known = c.where("d is not null").select(F.col("d").alias("q__d")).distinct()
+    by_name = c.where("n is not null").groupBy(F.col("n").alias("q__n")).agg(F.min("id").alias("q__id"))
+    new = items.where(F.trim(domain) != "").join(known, F.lower(F.trim(domain)) == F.col("q__d"), "left_anti")
+    own = new.join(by_name, F.lower(name) == F.col("q__n")).groupBy("q__id").agg(F.min_by(F.trim(domain), order).alias("q__domain"))
+    out = companies.join(own, F.col("id") == F.col("q__id"), "left")
+    return out.select(*[F.coalesce("domain", "q__domain").alias("domain") if x == "domain" else F.col(x) for x in companies.columns])
+
+
+def apply_funding(companies: DataFrame, raises: DataFrame, days: int) -> DataFrame:
+    """companies with the columns of their last raise, by order: recently_funded_at, funding_stage, funding_amount_raw and
+    priority_until, which is `days` after the announcement; empty texts are null, an unreadable date opens no window.
+
+    raises has company_id, order, announced_at, round_stage and amount_raw. Companies without a raise stay as they are.
+    """
+    last = raises.where("company_id is not null").groupBy("company_id").agg(F.max_by(F.struct("announced_at", "round_stage", "amount_raw"), "order").alias("q__r"))
+    until = F.date_format(F.date_add(F.substring("q__r.announced_at", 1, 10).try_cast("date"), days), "yyyy-MM-dd")
+    new = {"recently_funded_at": empty_to_null(F.col("q__r.announced_at")), "funding_stage": empty_to_null(F.col("q__r.round_stage")), "funding_amount_raw": empty_to_null(F.col("q__r.amount_raw")), "priority_until": until}
+    j = companies.join(last, F.col("id") == F.col("company_id"), "left")
+    old = lambda x: F.col(x) if x in companies.columns else F.lit(None).cast("string")
+    return j.select(*[x for x in companies.columns if x not in new], *[F.when(F.col("q__r").isNotNull(), v).otherwise(old(x)).alias(x) for x, v in new.items()])
+
+
 def new_ids(df: DataFrame, state: DataFrame, order: list[str], id_name: str = "id") -> DataFrame:
     """df with ids after the greatest of state, in the order given, without one task for all rows."""
     from quarrycast.operators.listing import rank

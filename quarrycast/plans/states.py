@@ -122,6 +122,16 @@ def _d7(spark, d):
     return state.new_ids(missing, c, ["name"])
 
 
+@q(
+    "D7_backfill",
+    f"""WITH {LOOKUP}, f AS (SELECT bn.id AS cid, arg_min(trim(f.resolved_domain), f.id) AS domain FROM funding_items f JOIN bn ON bn.k = lower(f.company_name) WHERE trim(f.resolved_domain) <> '' AND lower(trim(f.resolved_domain)) NOT IN (SELECT k FROM bd) GROUP BY 1)
+SELECT c.id, coalesce(c.domain, f.domain) AS domain FROM companies c LEFT JOIN f ON f.cid = c.id""",
+)
+def _d7b(spark, d):
+    f = table(spark, d, "funding_items", "id", "resolved_domain", "company_name")
+    return state.backfill(table(spark, d, "companies", "id", "name", "domain"), f, "resolved_domain", "company_name", "id").select("id", "domain")
+
+
 @q("D9_F15_K5_dead_letters", "SELECT count(*) FILTER (nullif(trim(external_id), '') IS NOT NULL AND nullif(trim(title), '') IS NOT NULL) AS valid, count(*) FILTER (nullif(trim(external_id), '') IS NULL OR nullif(trim(title), '') IS NULL) AS dead FROM job_snapshots")
 def _d9(spark, d):
     s = table(spark, d, "job_snapshots", "snapshot_no", "source", "board", "external_id", "title")
@@ -144,6 +154,19 @@ def _d14(spark, d):
     return table(spark, d, "funding_items", "id", "announced_at").select("id", F.date_format(F.date_add(F.substring("announced_at", 1, 10).try_cast("date"), 60), "yyyy-MM-dd").alias("until"))
 
 
+@q(
+    "D14_apply_funding",
+    f"""WITH {LOOKUP}, f AS (SELECT coalesce(bd.id, bn.id) AS cid, arg_max(struct_pack(a := announced_at, r := round_stage, w := amount_raw), f.id) AS x FROM funding_items f LEFT JOIN bd ON bd.k = lower(trim(f.resolved_domain)) LEFT JOIN bn ON bn.k = lower(f.company_name) GROUP BY 1)
+SELECT c.id, CASE WHEN f.cid IS NULL THEN c.recently_funded_at ELSE nullif(x.a, '') END AS recently_funded_at, CASE WHEN f.cid IS NULL THEN c.funding_stage ELSE nullif(x.r, '') END AS funding_stage,
+  nullif(x.w, '') AS funding_amount_raw, CAST(try_cast(left(x.a, 10) AS DATE) + 60 AS VARCHAR) AS priority_until FROM companies c LEFT JOIN f ON f.cid = c.id""",
+)
+def _d14b(spark, d):
+    c = table(spark, d, "companies", "id", "name", "domain", "recently_funded_at", "funding_stage")
+    f = table(spark, d, "funding_items", "id", "resolved_domain", "company_name", "announced_at", "round_stage", "amount_raw")
+    raises = state.lookup_company(f, c, "resolved_domain", "company_name").withColumnRenamed("id", "order")
+    return state.apply_funding(c.drop("name", "domain"), raises, 60)
+
+
 @q(
     "D17_mark_polled",
     f"""WITH e AS (SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)

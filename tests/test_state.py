@@ -57,6 +57,20 @@ def test_latest_poll_counts(spark):
     assert rows(state.mark_polled(c, o, "now"), "id", "last_polled_at", "poll_etag", "poll_last_modified") == [(1, "now", "new", "m"), (2, "now", "old", None), (3, "now", "old", None), (4, "never", "old", None)]
 
 
+def test_backfill(spark):
+    """The first item of the name fills an empty domain, unless its domain is another company's; nothing else changes."""
+    c = spark.createDataFrame([(1, "Acme", None), (2, "Bolt", "bolt.example"), (3, None, None), (4, "Cork", None)], "id long, name string, domain string")
+    items = spark.createDataFrame([(5, " acme.example", "ACME"), (4, "", "Acme"), (3, None, "Acme"), (6, "other.example", "acme"), (7, "BOLT.example ", "Cork"), (8, "new.example", "Bolt"), (9, "x.example", None)], "id long, site string, company string")
+    assert rows(state.backfill(c, items, "site", "company", "id")) == [(1, "Acme", "acme.example"), (2, "Bolt", "bolt.example"), (3, None, None), (4, "Cork", None)]
+    assert rows(state.backfill(c, items.where("false"), "site", "company", "id")) == rows(c)
+
+
+def test_apply_funding(spark):
+    c = spark.createDataFrame([(1, "old", "Seed"), (2, "kept", "A"), (3, None, None)], "id long, recently_funded_at string, funding_stage string")
+    raises = spark.createDataFrame([(1, 1, "2026-01-01", "Seed", "$1m"), (1, 2, "2026-03-01T10:00:00Z", "", None), (3, 1, "soon", "B", "$2m"), (None, 9, "2026-01-01", "X", "y")], "company_id long, order long, announced_at string, round_stage string, amount_raw string")
+    assert rows(state.apply_funding(c, raises, 60)) == [(1, "2026-03-01T10:00:00Z", None, None, "2026-04-30"), (2, "kept", "A", None, None), (3, "soon", "B", "$2m", None)]
+
+
 def test_versions(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "x int")
     where = str(tmp_path / "t")
