@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrycast.runtime import ship
+
 #: Fixed value: the pattern that cuts text into pre-tokens for the rank files.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A file of ranks of a public tokenizer; a parameter of every function here.
@@ -121,6 +123,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     columns besides key and text don't matter. The model is broadcast: its size is that of the vocabulary.
     """
     spark = df.sparkSession
+    ship(spark)
     model = spark.sparkContext.broadcast(model_bytes(read_ranks(vocabulary)))
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrycast.llm.words import WORD, words
+from quarrycast.runtime import ship
 
 MIN_WORDS = 12  #: shortest shared passage
 BLOCK_MB = 16  #: MB of item texts in one automaton; a worker needs about 40 times that
@@ -117,6 +118,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_mb: float) -> Itera
 
 def _scan(df: DataFrame, key: str, text: str, items: DataFrame, item_id: str, item_text: str, block_mb: float, least: int, run, schema: str) -> DataFrame:
     spark = df.sparkSession
+    ship(spark)
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null and t <> ''")
     out = None
     for block in _blocks(items, item_id, item_text, block_mb):
