@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrycast.runtime import small_enough
+from quarrycast.runtime import ship, small_enough
 
 #: English month names by their first three letters.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -43,6 +43,7 @@ def offset_intervals(spark: SparkSession) -> DataFrame:
     """
     import zoneinfo
 
+    ship(spark)
     names = spark.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones())], "tz_name string").repartition(8)
     lower, upper = datetime(FIRST_YEAR - 1, 12, 1, tzinfo=timezone.utc), datetime(LAST_YEAR + 1, 2, 1, tzinfo=timezone.utc)
 
