@@ -154,6 +154,15 @@ ANY, NONE = "\x01", "\x00"  #: in place of an attribute: whatever it is, and unk
 ITEM = ["item", "probe", "label"]
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """df with a hint that keeps a join with it from being a broadcast.
+
+    Spark takes what explode() makes for as large as its input, so that it would send keys of many times its limit
+    through the driver.
+    """
+    return df.hint("merge")
+
+
 def _joined(parts: list[str]) -> Column:
     """The attributes as one key; null where one is null."""
     return F.concat(*[x for i, c in enumerate(parts) for x in ((F.lit("\x02"), F.col(c)) if i else (F.col(c),))])
@@ -177,7 +186,7 @@ def _company_keys(companies: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = F.array(*[F.struct(F.lit(space).alias("space"), _joined(parts).alias("key")) for space, parts in SPACES.items()])
     flat = companies.select("company", *EVIDENCE, F.explode(keys).alias("k")).select("company", *EVIDENCE, "k.*").where("key is not null")
     one = flat.groupBy("space", "key").agg(F.count("*").alias("n"), F.min("company").alias("company"), *[F.min(e).alias(f"their_{e}") for e in EVIDENCE])
-    several = flat.join(one.where("n > 1").select("space", "key"), ["space", "key"], "left_semi")
+    several = flat.join(_sorted(one.where("n > 1").select("space", "key")), ["space", "key"], "left_semi")
     for e in EVIDENCE:
         several = several.withColumn(e, F.explode(F.array(F.coalesce(e, F.lit(NONE)), F.lit(ANY))))
     return one, several.groupBy("space", "key", *EVIDENCE).agg(F.count("*").alias("n"), F.min("company").alias("company"))
@@ -185,7 +194,7 @@ def _company_keys(companies: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _decide(keys: DataFrame, one: DataFrame, several: DataFrame) -> DataFrame:
     """(item, probe, label, company, rule) by the first rule that leaves one company which nothing contradicts."""
-    met = keys.join(one, ["space", "key"])
+    met = keys.join(_sorted(one), ["space", "key"])
     fits = F.lit(True)
     for e in EVIDENCE:
         fits &= F.col(e).isNull() | F.col(f"their_{e}").isNull() | (F.col(e) == F.col(f"their_{e}"))
@@ -195,7 +204,7 @@ def _decide(keys: DataFrame, one: DataFrame, several: DataFrame) -> DataFrame:
     for e in EVIDENCE:
         many = many.withColumn(e, F.explode(F.when(F.col(e).isNull(), F.array(F.lit(ANY))).otherwise(F.array(F.col(e), F.lit(NONE)))))
     same = lambda e: (~F.col(e).isin(ANY, NONE)).alias(f"same_{e}")
-    many = many.join(several, ["space", "key", *EVIDENCE]).select(*ITEM, "rule", "n", "company", same("sector"), same("city"))
+    many = many.join(_sorted(several), ["space", "key", *EVIDENCE]).select(*ITEM, "rule", "n", "company", same("sector"), same("city"))
     when = {"sector_city": F.col("same_sector") & F.col("same_city"), "sector": F.col("same_sector"), "city": F.col("same_city"), "alone": F.lit(True)}
     sums = [x for level, c in when.items() for x in (F.sum(F.when(c, F.col("n"))).alias(f"n_{level}"), F.min(F.when(c, F.col("company"))).alias(f"company_{level}"))]
     left = alone.unionByName(many).groupBy(*ITEM, "rule").agg(*sums)
@@ -228,7 +237,7 @@ def match(items: DataFrame, companies: DataFrame, item_id: str = "id", name: str
     i = _named(i.dropDuplicates(["item"]), "given", generic).drop("given")
     # cities count only where companies have them too: other words before "-based" are no places
     unique_domains = c.where("domain is not null").groupBy("domain").agg(F.min("company").alias("label"), F.count("*").alias("k")).where("k = 1").drop("k")
-    i = i.join(unique_domains, "domain", "left")
+    i = i.join(_sorted(unique_domains), "domain", "left")
     # an item with a label runs twice: as it is, and as a probe without its domain
     i = i.withColumn("probe", F.explode(F.when(F.col("label").isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).withColumn("domain", F.when(~F.col("probe"), F.col("domain")))
     i = cut(i)
@@ -236,10 +245,12 @@ def match(items: DataFrame, companies: DataFrame, item_id: str = "id", name: str
     exact = [rule for rule, mine, *_ in CASCADE if mine != ["near"]]
     found = cut(_decide(_item_keys(i, exact), one, several))
     # what is left, by one edit: names of companies that are near stand for the item's own in the keys
-    rest = i.where("full is not null").join(found.select("item", "probe"), ["item", "probe"], "left_anti")
+    rest = i.where("full is not null").join(_sorted(found.select("item", "probe")), ["item", "probe"], "left_anti")
     wholes = c.select(F.explode(F.array(F.struct(F.lit("typo").alias("kind"), F.col("full").alias("near")), F.struct(F.lit("base_typo").alias("kind"), F.col("base").alias("near")))).alias("w")).select("w.*").where("near is not null").distinct()
-    near = rest.withColumn("v", F.explode(_variants(F.col("full")))).join(wholes.withColumn("v", F.explode(_variants(F.col("near")))), "v")
-    near = near.where(_one_edit(F.col("full"), F.col("near"))).drop("v").distinct()
+    # names alone are laid out in their variants, by hashes; whether two really are near is looked at afterwards
+    laid_out = lambda names, c: names.withColumn("v", F.explode(F.transform(_variants(F.col(c)), lambda v: F.xxhash64(v))))
+    near = laid_out(rest.select("full").distinct(), "full").join(_sorted(laid_out(wholes, "near")), "v")
+    near = rest.join(_sorted(near.where(_one_edit(F.col("full"), F.col("near"))).drop("v").distinct()), "full")
     keys = _item_keys(near.where("kind = 'typo'"), ["typo"]).unionByName(_item_keys(near.where("kind = 'base_typo'"), ["base_typo"]))
     found = cut(found.unionByName(_decide(keys, one, several)))
     # the domain rule is judged by how often the names of its items lead to the same company

@@ -103,3 +103,21 @@ def test_plan_is_short(spark, data):
 
     plan = queries.p3_found(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") < 15
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    """Keys of companies and items never pass through the driver, whatever size Spark takes them for."""
+    companies = world(random.Random(6))
+    items = [(k, [name, name[:3] + name[4:], name.split()[0]][k % 3], None, site if k % 2 else None, None) for k, name, site, *_ in companies]
+    companies = spark.createDataFrame([*companies, (1000, companies[0][1], None, None, None)], COMPANY)
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids = lambda: {(e := runs.apply(k)).executionId(): e.physicalPlanDescription() for runs in [store.executionsList()] for k in range(runs.size())}
+    before, held = ids(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        assert len(matching.match(spark.createDataFrame(items, ITEM), companies).collect()) > 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    trees = [p.split("\n\n")[0].split("== Initial Plan ==")[0] for k, p in ids().items() if k not in before]
+    assert sum(t.count("BroadcastExchange") for t in trees) == 2, "the confidence of each kind and rule"
