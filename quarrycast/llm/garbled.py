@@ -2,44 +2,41 @@
 
 Every segment of a text gets candidate decodings: chains of steps that take characters back to the bytes of
 the encoding they were read with and read those as UTF-8 (once or repeatedly), or as another legacy encoding.
-The description length of a candidate is its size under the best of the per-language zstandard dictionaries, the
-escape codes of the characters and pairs of characters that clean texts don't have (log2 of how many of them the
-sample holds), and the cost of its chain. The shortest wins; without a gain the segment stays unchanged. A replacement character says that a part is lost.
-
-Dictionaries and known characters are fitted on a bounded sample: at most SAMPLE clean texts of a language,
-the first in the order of a hash. What a pattern can't tell from clean text is taken out of it by a second pass:
-texts that a chain makes shorter under the pairs of characters of the other texts. All segments of all texts
+The description length of a candidate is that of its characters, each after the one before it, under the counts of
+pairs of characters of the language that gives the least (interpolated by Witten and Bell with the counts of
+characters), with the language's share and the cost of its chain. The shortest wins; without a gain the segment stays
+unchanged. A replacement character says that a part is lost.
+
+The counts are those of all clean texts of all languages; their number is bounded by the pairs of characters that
+languages use, not by the texts. What a pattern can't tell from clean text is kept out by a second pass over all
+texts: those that a chain makes shorter under the pairs of characters of the other texts. All segments of all texts
 with characters beyond ASCII are then examined.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrycast.runtime import ship, spread
+from quarrycast.runtime import ship
 
-SAMPLE = 600  #: clean texts of each language in the sample, found among the first 2 * SAMPLE by hash
-SAMPLE_CHARS = 4_000  #: longest text in the sample
-LANGUAGES = 200  #: most language codes that are sampled
 STEP_COST = 1.0  #: bytes that each step of a chain costs
 LEGACY_COST = 4.0  #: more bytes for a step to a legacy encoding, which nearly any character allows
 DEPTH = 3  #: most steps of a chain
-LEVEL = 15  #: of zstandard, the cheapest that looks for the longest matches everywhere
-LEAST_SIZE = 9  #: bytes of the smallest zstandard frame with content
 SEGMENT = 600  #: characters after which a segment is cut at the next space, or else after
 LONGEST = 6_000  #: characters, where there is no space
 AROUND = 64  #: characters before LONGEST among which a cut that splits no garbled character is sought
 
 PLAIN_BITS = 6.0  #: that a pair of ASCII characters costs in the second pass over the sample
-PAIRS_KEPT = 500_000  #: pairs of characters that a worker remembers
+UNSEEN = 2.0**-17  #: share of each character among those that a language lacks
+PAIRS_KEPT = 200_000  #: counts of pairs that a worker gathers before it sends them on
 SEGMENTS_KEPT = 20_000  #: segments that a worker remembers as unchanged
 
 LOST = "\N{REPLACEMENT CHARACTER}"
@@ -88,7 +85,7 @@ _RUN = {a: re.compile(f"[\\x00-\\x7f{_any(_MAPS[a])}]+") for a, _ in LEGACY}
 #: Legacy encodings of one byte a character: what each character read as one of them is in the other, or LOST.
 _ONE = {(a, e): {ord(c): bytes([b]).decode(e, "replace") for c, b in _MAPS[a].items()} for a, e in LEGACY if e not in ("gb18030", "big5", "cp932", "euc_jp", "euc_kr")}
 _SPLIT = re.compile(r"((?<=[.!?。！？।])\s+|\n+)")
-#: What clean sample texts must not have, as a Java pattern: likely sequences, controls, symbols glued to letters.
+#: What clean texts must not have, as a Java pattern: likely sequences, controls, symbols glued to letters.
 UNCLEAN = r"[\x{0080}-\x{009F}\x{FFFD}\x{F8FF}]|[ÂÃ][\x{00A0}-\x{00BF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|â[€‚„]|[ÄÅ][\x{00A0}-\x{00BF}‚„…†‡ˆ‰Š‹ŒŽ™š›œžŸ]|[├┼┬─ΓÔ╨╤╪┘]|√[\P{L}\p{L}]|‚Ä|¬[øø°]|[ГРС][\x{00A0}-\x{00BF}ЂЃѓ‚„…†‡€‰Љ‹ЊЌЋЏђљњќћџЎўЈҐЁЄЇІіґєјЅѕї№]|вЂ|\p{L}[¡-©«-´¶-¹»-¿]\p{L}|\p{L}[¹³¿œŸ]\s|[\x{00C0}-\x{00FF}]{4}|[\x{00A1}-\x{00BF}]{2}|ï[¼½]|à[¤¥]"
 
 
@@ -126,13 +123,9 @@ def decode_legacy(text: str, taken: str, real: str) -> str | None:
     return "".join([*out, text[at:]]) if out else None
 
 
-#: Punctuation and currencies, which all languages share: a sample that lacks one says nothing about it.
-_NEUTRAL = re.compile("[\u2010-\u2027\u2030-\u205e\u20a0-\u20c0\u00a3-\u00a5]")
-
-
-def _kind(c: str) -> str:
-    """ASCII and neutral characters by kind, others as they are."""
-    return "." if _NEUTRAL.match(c) else c if c > "\x7f" else "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else " " if c.isspace() else "."
+#: ASCII, punctuation and currencies, which all languages share: texts that lack one say nothing about it.
+_NEUTRAL = np.array([*range(0x20, 0x7F), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C1), *range(0xA3, 0xA6)])
+_BITS = 21  #: of a character in the code of a pair
 
 
 def candidates(segment: str) -> dict[str, float]:
@@ -168,130 +161,157 @@ def _cut(p: str) -> int:
     return max(places, key=lambda c: sum(decode_legacy(p[:c], a, e) is not None for a, e in LEGACY), default=LONGEST)
 
 
-def _pairs(text: str) -> set[str]:
-    """The pairs of characters of text, one of them beyond ASCII at least."""
-    return {a + b for a, b in zip(text, text[1:]) if a > "\x7f" or b > "\x7f"}
+def _characters(text: str) -> np.ndarray:
+    """The codes of the characters of text, all digits of ASCII as one."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.where((c >= 48) & (c <= 57), 48, c)
 
 
-class Others:
-    """Description lengths of parts of a sample text under the pairs of characters of all other texts."""
+def _pairs(text: str) -> np.ndarray:
+    c = _characters(text)
+    return c[:-1] << _BITS | c[1:]
+
+
+def _found(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted value, the length of sorted_ where it is missing."""
+    at = np.searchsorted(sorted_, wanted)
+    return np.where(np.append(sorted_, -1)[at] == wanted, at, len(sorted_))
+
+
+class Counts:
+    """The pairs of characters of texts: sorted codes, how often each comes, and the number of texts as its length."""
 
-    def __init__(self, texts: list[str]):
-        self.seen = Counter(p for t in texts for p in _pairs(t))
-        self.total = self.seen.total() + 1
+    def __init__(self, codes: np.ndarray, n: np.ndarray, texts: int):
+        self.codes, self.n, self.texts = codes, n, texts
 
-    def _length(self, s: str, own: set[str]) -> float:
-        bits = 0.0
-        for a, b in zip(s, s[1:]):
-            if a > "\x7f" or b > "\x7f":
-                bits += math.log2(self.total / (self.seen[a + b] - (a + b in own) + 0.5))
-            else:
-                bits += PLAIN_BITS
-        return bits / 8
+    def __len__(self) -> int:
+        return self.texts
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Counts:
+        return cls(*np.unique(np.concatenate([_pairs(t) for t in texts] or [np.zeros(0, np.int64)]), return_counts=True), len(texts))
+
+
+class Others:
+    """Description lengths of parts of a text under the pairs of characters of all other texts; counts holds in how
+    many texts each pair is, only pairs with a character beyond ASCII."""
+
+    def __init__(self, counts: Counts):
+        self.codes, self.seen = counts.codes, np.append(counts.n, 0)
+        self.total = int(counts.n.sum()) + 1
+
+    def lengths(self, texts: list[str], own: np.ndarray) -> np.ndarray:
+        """Bytes of each text; own are the pairs of the text that it is part of, of which one is not another's."""
+        parts = [_pairs(t) for t in texts]
+        pairs, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        far = _is_foreign(pairs)
+        others = self.seen[_found(self.codes, pairs[far])] - (_found(own, pairs[far]) < len(own))
+        bits = np.bincount(of[far], np.log2(self.total / (np.maximum(others, 0) + 0.5)), len(parts))
+        return (bits + PLAIN_BITS * np.bincount(of[~far], minlength=len(parts))) / 8
 
     def garbled(self, text: str) -> bool:
-        """Whether a chain makes a segment of text, one of the sample, shorter."""
-        own = _pairs(text)
-        for p in _SPLIT.split(text):
+        """Whether a chain makes a segment of text, one of those counted, shorter."""
+        own = None
+        for p in _segments(text):
             if p.isascii() or p.isspace():
                 continue
             found = candidates(p)
-            least = self._length(p, own)
-            if any(cost + self._length(t, own) < least for t, cost in found.items() if t != p):
+            if len(found) == 1:
+                continue
+            own = _foreign_pairs(text) if own is None else own
+            lengths = self.lengths([*found], own) + [*found.values()]  # the first is p itself
+            if lengths[1:].min() < lengths[0]:
                 return True
         return False
 
 
-class Model:
-    """Description lengths under the dictionaries of a sample {language: texts}."""
+def _is_foreign(pairs: np.ndarray) -> np.ndarray:
+    """Which have a character beyond ASCII."""
+    return (pairs >> _BITS > 127) | (pairs & 2**_BITS - 1 > 127)
+
 
-    def __init__(self, sample: dict[str, list[str]]):
-        import zstandard
+def _foreign_pairs(text: str) -> np.ndarray:
+    """The pairs of characters of text, each once, with a character beyond ASCII."""
+    pairs = _pairs(text)
+    return np.unique(pairs[_is_foreign(pairs)])
 
-        self.parts = []
-        self.known: set[str] = set()
-        self.kinds: set[str] = set()
-        self.held: dict[str, bool] = {}  # pair -> whether it is odd
+
+def _segments(text: str) -> Iterator[str]:
+    """The parts that text is examined in; joined they are text."""
+    for p in _SPLIT.split(text):
+        while len(p) > SEGMENT:
+            cut = p.find(" ", SEGMENT, LONGEST)
+            if cut < 0 and len(p) <= LONGEST:
+                break
+            cut = cut if cut > 0 else _cut(p)
+            yield p[:cut]
+            p = p[cut:]
+        yield p
+
+
+class Model:
+    """Description lengths under the pairs of characters of each language, given as Counts or as texts."""
+
+    def __init__(self, languages: dict[str, Counts | list[str]]):
+        held = [c if isinstance(c, Counts) else Counts.of(c) for c in languages.values()]
+        held = [c for c in held if len(c.codes)]
         self.same: set[str] = set()  # segments found unchanged
-        letters = pairs = 0
-        for texts in sample.values():
-            data = "\n".join(texts).encode()
-            if len(data) < 64:
-                continue
-            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.parts.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
-            letters += sum(map(len, _FOREIGN.findall(data.decode())))
-            seen = Counter(p for t in texts for p in _pairs(t))
-            pairs += seen.total()
-            self.known.update(p for p, n in seen.items() if n >= 2)
-            self.kinds.update(_kind(p[0]) + _kind(p[1]) for p, n in seen.items() if n >= 2)
-        self.letters = {c for p in self.known for c in p if c > "\x7f"}
-        self.letter_cost, self.pair_cost = math.log2(letters + 2) / 8, math.log2(pairs + 2) / 8
-
-    def odd_pairs(self, text: str) -> int:
-        """Pairs of characters, one of them beyond ASCII at least, that clean texts don't have; ASCII ones by kind."""
-        held, n = self.held, 0
-        if len(held) > PAIRS_KEPT:
-            held.clear()
-        for m in _AROUND.finditer(text):
-            part = m[0]
-            for a, b in zip(part, part[1:]):
-                odd = held.get(a + b)
-                if odd is None:
-                    odd = held[a + b] = _kind(a) + _kind(b) not in self.kinds
-                n += odd
-        return n
-
-    def strangeness(self, text: str) -> float:
-        """The part of the description length that needs no compression."""
-        odd = sum(c not in self.letters and not _NEUTRAL.match(c) for run in _FOREIGN.findall(text) for c in run)
-        return self.letter_cost * odd + self.pair_cost * self.odd_pairs(text)
-
-    def size(self, text: str) -> int:
-        """Bytes of text under the best dictionary."""
-        data = text.encode("utf-8", "replace")
-        return min((len(c.compress(data)) for c in self.parts), default=len(data))
-
-    def length(self, text: str) -> float:
-        return self.size(text) + self.strangeness(text)
+        self.chars = np.unique(np.concatenate([_NEUTRAL, *[x for c in held for x in (c.codes >> _BITS, c.codes & 2**_BITS - 1)]]))
+        self.size = len(held)
+        v = len(self.chars) + 1  # the last for characters that no language has
+        neutral = np.append(np.isin(self.chars, _NEUTRAL), False)
+        total = sum(int(c.n.sum()) for c in held)
+        # bits of a character as such, of leaving what follows a character for that, and what a known pair saves of both
+        self.alone, self.leaving, self.share = np.zeros((v, self.size), np.float32), np.zeros((v, self.size), np.float32), np.zeros(self.size)
+        codes, lang, saved = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        for k, c in enumerate(held):
+            a, b = np.searchsorted(self.chars, c.codes >> _BITS), np.searchsorted(self.chars, c.codes & 2**_BITS - 1)
+            after, kinds, n = np.bincount(a, c.n, v), np.bincount(a, minlength=v), np.bincount(b, c.n, v)
+            distinct = (n > 0).sum()
+            share = (n + neutral + distinct * UNSEEN) / (n.sum() + neutral.sum() + distinct)
+            new = np.where(after > 0, kinds / np.maximum(after + kinds, 1), 1.0)
+            self.alone[:, k], self.leaving[:, k], self.share[k] = -np.log2(share), -np.log2(new), np.log2(total / c.n.sum())
+            codes.append(c.codes)
+            lang.append(np.full(len(a), k, np.int32))
+            saved.append((np.log2((c.n + kinds[a] * share[b]) / (after[a] + kinds[a])) - np.log2(new[a] * share[b])).astype(np.float32))
+        order = np.argsort(np.concatenate(codes), kind="stable")
+        self.pairs, self.first = np.unique(np.concatenate(codes)[order], return_index=True)
+        self.first = np.append(self.first, [len(order)] * 2)
+        self.lang, self.saved = np.concatenate(lang)[order], np.concatenate(saved)[order]
+        self.both = self.alone + self.leaving
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """Bytes of each text, none of them empty, under the language that gives the least."""
+        parts = [_characters(t) for t in texts]
+        if not self.size:
+            return np.array([len(t.encode("utf-8", "replace")) for t in texts], float)
+        starts = np.cumsum([0, *map(len, parts)])
+        every = np.concatenate(parts)
+        at = _found(self.chars, every)
+        bits = np.add.reduceat(self.both[at], starts[:-1], axis=0, dtype=np.float64) - self.leaving[at[starts[1:] - 1]]
+        inner = np.ones(len(every), bool)
+        inner[starts[1:] - 1] = False  # the last of a text is followed by nothing
+        inner = np.flatnonzero(inner)
+        pair = _found(self.pairs, every[inner] << _BITS | every[inner + 1] if len(inner) else inner)
+        n = self.first[pair + 1] - self.first[pair]
+        entry = np.repeat(self.first[pair] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        text = np.repeat(np.repeat(np.arange(len(texts)), np.diff(starts))[inner], n)
+        bits -= np.bincount(text * self.size + self.lang[entry], self.saved[entry], len(texts) * self.size).reshape(bits.shape)
+        return (bits + self.share).min(axis=1) / 8
 
     def best(self, segment: str) -> str:
         """The candidate decoding of least description length, the segment itself among them."""
         found = candidates(segment)
         if len(found) == 1:
             return segment
-        rated = sorted((self.strangeness(t) + c, c, t) for t, c in found.items())
-        # a frame is no larger than its content and LEAST_SIZE: nothing to compress if no other can be below that
-        most = self.strangeness(segment) + len(segment.encode("utf-8", "replace"))
-        if self.parts and all(rest > most for rest, _, t in rated if t != segment):
-            return segment
-        # the least strange first: one whose other costs reach the best length so far can't win whatever its size
-        best, least = segment, float("inf")
-        for rest, _, t in rated:
-            if rest + LEAST_SIZE > least:
-                break
-            length = self.size(t) + rest
-            if length < least:
-                best, least = t, length
-        return best
+        rated = sorted(zip(self.lengths([*found]) + [*found.values()], found.values(), found))
+        return rated[0][2]
 
     def restore(self, text: str) -> str:
         """text with each garbled segment restored."""
         if text.isascii():
             return text
-        pieces = _SPLIT.split(text)
-        out = []
-        for p in pieces:
-            while len(p) > SEGMENT:
-                cut = p.find(" ", SEGMENT, LONGEST)
-                if cut < 0 and len(p) <= LONGEST:
-                    break
-                cut = cut if cut > 0 else _cut(p)
-                out.append(self._piece(p[:cut]))
-                p = p[cut:]
-            out.append(self._piece(p))
-        return "".join(out)
+        return "".join(map(self._piece, _segments(text)))
 
     def _piece(self, p: str) -> str:
         if p.isascii() or p.isspace() or p in self.same:
@@ -304,49 +324,65 @@ class Model:
         return new
 
 
-def sample(df: DataFrame, text: str, lang: str) -> dict[str, list[str]]:
-    """At most SAMPLE clean texts for each of at most LANGUAGES language codes, by the order of a hash, without
-    those that the rest of the sample shows to be garbled."""
-    code = F.lower(F.regexp_extract(F.coalesce(F.col(lang), F.lit("und")), r"^([A-Za-z]{2,3})", 1))
-    rows = df.where(F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(code.alias("l"), F.col(text).alias("t"))
-    rows = rows.where(F.length(F.trim("t")) > 1).withColumn("h", F.xxhash64("t"))
-    # the pattern is costly: only texts that may get into the sample are held against it
-    rank = lambda: F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-    first = rows.withColumn("n", rank()).where(F.col("n") <= 2 * SAMPLE).where(~F.col("t").rlike(UNCLEAN))
-    top = first.withColumn("n", rank()).where(F.col("n") <= SAMPLE)
-    kept = [(r.l, r.t) for r in top.select("l", "t").orderBy("l", "n").limit(SAMPLE * LANGUAGES).toLocalIterator()]
-    bad = _garbled_ones(df.sparkSession, [t for _, t in kept])
-    out: dict[str, list[str]] = {}
-    for i, (code, t) in enumerate(kept):
-        if i not in bad:
-            out.setdefault(code, []).append(t)
-    return out
+def _summed(rows: DataFrame) -> dict[str, Counts]:
+    """(l, code, n) of all workers as Counts; code -1 has the number of texts."""
+    t = rows.groupBy("l", "code").agg(F.sum("n").alias("n")).toArrow()
+    codes, n = t["code"].to_numpy(), t["n"].to_numpy()
+    names = t["l"].combine_chunks().dictionary_encode() if t.num_rows else None
+    out = {}
+    for k, name in enumerate(names.dictionary.to_pylist() if names is not None else []):
+        here = np.flatnonzero(names.indices.to_numpy() == k)
+        here = here[np.argsort(codes[here])]
+        texts = codes[here] < 0
+        out[name] = Counts(codes[here][~texts], n[here][~texts], int(n[here][texts].sum()))
+    return dict(sorted(out.items()))
+
+
+def _counted(gathered: dict[str, list[np.ndarray]], texts: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    for name, parts in gathered.items():
+        codes, n = np.unique(np.concatenate(parts), return_counts=True)
+        codes, n = np.append(codes, -1), np.append(n, texts[name])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["l", "code", "n"])
+    gathered.clear()
+    texts.clear()
+
+
+def _gather(rows: Iterable[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(l, code, n) of the pairs of each (l, pairs), summed over some texts at a time."""
+    gathered, texts, size = defaultdict(list), defaultdict(int), 0
+    for name, pairs in rows:
+        gathered[name].append(pairs)
+        texts[name] += 1
+        size += len(pairs)
+        if size > PAIRS_KEPT:
+            yield from _counted(gathered, texts)
+            size = 0
+    yield from _counted(gathered, texts)
+
+
+def fit(df: DataFrame, text: str, lang: str) -> dict[str, Counts]:
+    """The pairs of characters of all clean texts of each language code, without texts that the others show to be
+    garbled."""
+    ship(df.sparkSession)
+    code: Column = F.lower(F.regexp_extract(F.coalesce(F.col(lang), F.lit("und")), r"^([A-Za-z]{2,3})", 1))
+    rows = df.where(F.col(text).isNotNull()).select(code.alias("l"), F.col(text).cast("string").alias("t")).where(~F.col("t").rlike(UNCLEAN))
+    schema = "l string, code bigint, n bigint"
 
+    def in_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gather(("", _foreign_pairs(t)) for b in batches for t in b.column("t").to_pylist() if not t.isascii())
 
-def _garbled_ones(spark: SparkSession, texts: list[str]) -> set[int]:
-    """The places in texts of those that a chain makes shorter under the others."""
-    if not texts:
-        return set()
-    shared = spark.sparkContext.broadcast(Others(texts))
+    pooled = _summed(rows.select("t").mapInArrow(in_texts, schema)).get("", Counts.of([]))
+    shared = df.sparkSession.sparkContext.broadcast(Others(pooled))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = shared.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist()) if others.garbled(t)], pa.int64())], ["i"])
-
-    rows = spark.createDataFrame(pa.table({"i": pa.array(range(len(texts)), pa.int64()), "t": pa.array(texts, pa.string())}))
-    return {r.i for r in spread(rows).mapInArrow(run, "i bigint").collect()}
-
+        each = ((name, t) for b in batches for name, t in zip(b.column("l").to_pylist(), b.column("t").to_pylist()))
+        yield from _gather((name, _pairs(t)) for name, t in each if t.isascii() or not others.garbled(t))
 
-_held: tuple[object, Model] | None = None
+    return _summed(rows.mapInArrow(clean, schema))
 
 
-def _model(shared) -> Model:
-    """The model of a broadcast sample, made once in each worker."""
-    global _held
-    if _held is None or _held[0] != shared.value:
-        _held = shared.value, Model(shared.value)
-    return _held[1]
+sample = fit  #: its former name, when it took some texts of each language
 
 
 def restore(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -356,12 +392,12 @@ def restore(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     have no row; repeated rows come as often as they do. An empty table gives no rows.
     """
     ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(sample(df, text, lang))
+    shared = df.sparkSession.sparkContext.broadcast(Model(fit(df, text, lang)))
     rows = df.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared)
+        model = shared.value
         for b in batches:
             at, new, lost = [], [], []
             for i, t in enumerate(b.column("t").to_pylist()):

@@ -97,3 +97,16 @@ def test_long_runs_are_not_cut_inside_a_character(model, real, taken, times):
         for _ in range(times):
             bad = bad.encode(real).decode(taken)
         assert len(bad) > garbled.LONGEST and model.restore(bad) == t
+
+
+def test_the_counts_are_those_of_all_texts(spark):
+    """Long texts, many texts of a language and many languages all count, none of them a sample."""
+    import string
+
+    codes = [a + b for a in string.ascii_lowercase for b in string.ascii_lowercase][:230]
+    data = [(f"Ein Satz über Nummer {i}, größer als alle.", "de") for i in range(1500)] + [("Ein Satz über Nummer 5, größer als alle. " * 200, "de")] + [(f"{c} né à Paris", c + "x") for c in codes]
+    held = garbled.fit(spark.createDataFrame(data, "text string, lang string"), "text", "lang")
+    assert len(held["de"]) == 1501 and sum(map(len, held.values())) == len(data) and len(held) == 231
+    for code, counts in held.items():
+        want = garbled.Counts.of([t for t, k in data if k == code])
+        assert (counts.codes == want.codes).all() and (counts.n == want.n).all()
